@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewloom.llm.topn import clean_edges
 from viewloom.session import broadcast_if_small, materialise
 
-DAMPING = 0.85
-STEPS = 60
+#: Share of steps that follow a score; the rest jump anywhere. Strong damping keeps an item that leads one score only
+#: from absorbing the walk.
+DAMPING = 0.3
+#: The error left is below DAMPING ** STEPS.
+STEPS = 24
 #: Groups of up to this many items are solved in one task; larger ones by distributed prefix sums.
 GROUP_ITEMS = 200_000
 CUTS = 64
@@ -20,9 +23,9 @@ CUTS = 64
 def rank_walk(scores: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
     """Stationary probabilities of the items (rows) under the scores (columns, NaN = the item lacks this score).
 
-    From an item: pick a score, then jump uniformly to an item that ranks higher by it; stay if none does. An item that lacks the
-    score ranks below all that have it. With probability 1 - ``damping`` jump to any item. Only the order within a score
-    counts, so unit, offset and spread don't. Each step is one prefix sum per score over its sorted items.
+    From an item: pick a score, then jump uniformly to an item that ranks higher by it; to any item if none does. An item
+    that lacks the score ranks below all that have it. With probability 1 - ``damping`` jump to any item. Only the order
+    within a score counts, so unit, offset and spread don't. Each step is one prefix sum per score over its sorted items.
     """
     n = len(scores)
     views = []
@@ -41,19 +44,24 @@ def rank_walk(scores: np.ndarray, damping: float = DAMPING, steps: int = STEPS)
             mass = p[have]
             per = np.bincount(level, np.where(higher > 0, mass / np.maximum(higher, 1), 0.0))
             below = per.sum() - np.cumsum(per)
-            q[have] += below[level] + np.where(higher == 0, mass, 0.0) + p[lack].sum() / len(have)
+            q[have] += below[level] + p[lack].sum() / len(have)
+            q += mass[higher == 0].sum() / n
         p = (1 - damping) / n + damping * q / len(views)
     return p
 
 
-def _solve(views: list[str]):
+def _solve(views: list[str], steps: int):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = rank_walk(pdf[views].to_numpy(dtype=float))
+        p = rank_walk(pdf[views].to_numpy(dtype=float), steps=steps)
         return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "p": p})
 
     return one
 
 
+def _cuts_under(cuts: str, value: str) -> Column:
+    return F.size(F.filter(cuts, lambda c: c < F.col(value)))
+
+
 def _walk_large(items: DataFrame, views: list[str], steps: int, damping: float) -> DataFrame:
     """The same chain for groups of any size: score ranges per view, range totals plus a window within each range.
 
@@ -67,7 +75,7 @@ def _walk_large(items: DataFrame, views: list[str], steps: int, damping: float)
     live = sum((F.col(f"n_{v}") > 0).cast("int") for v in views)
     x = items.join(F.broadcast(cuts.withColumn("views", live)), "row")
     for v in views:
-        x = x.withColumn(f"b_{v}", F.when(F.col(v).isNotNull(), F.size(F.filter(f"cuts_{v}", lambda c, v=v: c < F.col(v))))).drop(f"cuts_{v}")
+        x = x.withColumn(f"b_{v}", F.when(F.col(v).isNotNull(), _cuts_under(f"cuts_{v}", v))).drop(f"cuts_{v}")
 
     def beyond(df: DataFrame, v: str, what: str, upward: bool, out: str) -> DataFrame:
         """Sum of ``what`` over the items strictly above (or below) in view ``v``."""
@@ -83,17 +91,19 @@ def _walk_large(items: DataFrame, views: list[str], steps: int, damping: float)
     x = x.withColumn("one", F.lit(1.0))
     for v in views:
         x = beyond(x, v, "one", True, f"h_{v}")
-        x = x.withColumn(f"h_{v}", F.round(f"h_{v}"))
+        x = x.withColumn(f"h_{v}", F.when(F.col(v).isNotNull(), F.round(f"h_{v}")))
     x = materialise(x.drop("one").withColumn("p", 1 / F.col("n")), "walk")
     for _ in range(steps):
         flow = F.lit(0.0)
-        lost = x.groupBy("row").agg(*[F.sum(F.when(F.col(v).isNull(), F.col("p")).otherwise(0.0)).alias(f"l_{v}") for v in views])
+        lack = [F.sum(F.when(F.col(v).isNull(), F.col("p")).otherwise(0.0)).alias(f"l_{v}") for v in views]
+        lead = [F.sum(F.when(F.col(f"h_{v}") == 0, F.col("p")).otherwise(0.0)).alias(f"l_top_{v}") for v in views]
+        lost = x.groupBy("row").agg(*lack, *lead)
         x = x.join(F.broadcast(lost), "row")
         for v in views:
             x = x.withColumn("w", F.when(F.col(v).isNotNull() & (F.col(f"h_{v}") > 0), F.col("p") / F.col(f"h_{v}")).otherwise(0.0))
             x = beyond(x, v, "w", False, f"f_{v}")
-            stay = F.when(F.col(f"h_{v}") == 0, F.col("p")).otherwise(0.0)
-            flow = flow + F.when(F.col(v).isNotNull(), F.col(f"f_{v}") + stay + F.col(f"l_{v}") / F.col(f"n_{v}")).otherwise(0.0)
+            flow = flow + F.when(F.col(v).isNotNull(), F.col(f"f_{v}") + F.col(f"l_{v}") / F.col(f"n_{v}")).otherwise(0.0)
+            flow = flow + F.col(f"l_top_{v}") / F.col("n")
         keep = [c for c in x.columns if c != "p" and c != "w" and c[:2] not in ("l_", "f_")]
         x = x.withColumn("p", (1 - damping) / F.col("n") + damping * F.when(F.col("views") > 0, flow / F.col("views")).otherwise(1 / F.col("n")))
         x = materialise(x.select(*keep, "p"), "walk")
@@ -118,7 +128,7 @@ def fuse_rankings(views: list[DataFrame], requests: DataFrame, group_items: int
     large = materialise(items.groupBy("row").count().where(F.col("count") > group_items).select("row"), "large")
     light = items.join(F.broadcast(large), "row", "left_anti")
     schema = "row long, col long, p double"
-    out = light.groupBy("row").applyInPandas(_solve(names), schema)
+    out = light.groupBy("row").applyInPandas(_solve(names, steps), schema)
     if not large.isEmpty():
         out = out.unionByName(_walk_large(items.join(F.broadcast(large), "row", "left_semi"), names, steps, DAMPING))
     order = Window.partitionBy("row").orderBy(F.desc(F.round("p", 12)), F.asc("col"))
