@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viewloom.llm import cooccur, encode, fuse, leaks, set_pairs, terms, topn
+from viewloom.llm import abuse, cooccur, encode, fuse, leaks, set_pairs, terms, topn
 from viewloom.sources.tables import table
 
 
@@ -97,6 +97,21 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leaks.without_leaks(docs, "doc_id", "text", _spans(spark, d)).select("doc_id", F.size("words").alias("n_words"), "dropped")
 
 
+def _abuse(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.score(docs, "doc_id", "text", abuse.fit(docs, "doc_id", "text", table(spark, d, "content_labels"), "is_toxic"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, abusive ones and their share per source (both spellings of a source together)."""
+    source = F.coalesce(F.regexp_replace(F.lower(F.trim("source")), " ", "_"), F.lit("unknown")).alias("source")
+    return abuse.rates(table(spark, d, "documents").select("doc_id", source), _abuse(spark, d), "doc_id", "source")
+
+
 _SETS = r"""s AS (SELECT doc_idx, list_sort(list(DISTINCT t)) AS tags FROM (SELECT doc_idx, trim(regexp_replace(lower(unnest(tags)), '[ \t]+', ' ', 'g'), ' ') AS t
   FROM relevance_tag_docs WHERE doc_idx IS NOT NULL) WHERE t <> '' GROUP BY doc_idx)"""
 P1_FOUND = f"""WITH {_SETS}, e AS (SELECT doc_idx, len(tags) AS n, unnest(tags) AS t FROM s WHERE len(tags) >= 5),
@@ -139,5 +154,7 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_coverage": p9_coverage,
     "p9_clean": p9_clean,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
 ORACLES = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_associations": P3_ASSOCIATIONS, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
