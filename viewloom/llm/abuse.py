@@ -23,10 +23,12 @@ KNOWN_SHARE = 1 / 4000
 KNOWN_LEAST = 3
 #: Words per scored window.
 WINDOW = 12
-THRESHOLD = 0.25
+THRESHOLD = 0.2
 #: Where training begins, and its L2 penalty.
 BIAS = -4.0
 PENALTY = 0.1
+#: Times each seed sentence counts.
+SEED_COPIES = 4
 #: Documents called abusive whose worst window is no worse than in this share of the harmless ones are taken as rater errors.
 USUAL = 0.93
 #: Standard deviations above chance from which an n-gram counts as a sign of abuse at the start.
@@ -245,9 +247,9 @@ def train(speller: Speller, docs: list[list[str]], labels: np.ndarray, rounds: i
 
     ``labels``: mean of the raters, 0 to 1. The seed sentences join the labelled documents.
     """
-    seeds = [speller.words(t) for t in ABUSIVE + HARMLESS]
+    seeds = [speller.words(t) for t in (ABUSIVE + HARMLESS) * SEED_COPIES]
     docs = docs + seeds
-    y = np.concatenate([labels, np.ones(len(ABUSIVE)), np.zeros(len(HARMLESS))])
+    y = np.concatenate([labels, *[np.ones(len(ABUSIVE)), np.zeros(len(HARMLESS))] * SEED_COPIES])
     docs_y = [(d, v) for d, v in zip(docs, y, strict=True) if d and abs(v - 0.5) > 0.1]
     y = np.array([v for _, v in docs_y]) > 0.5
     sizes = np.array([len(d) for d, _ in docs_y])
