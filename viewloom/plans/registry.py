@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from viewloom.plans import quality
+from viewloom.plans import q_clean, quality
 
-_PARTS = [quality]
+_PARTS = [quality, q_clean]
 
 QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
