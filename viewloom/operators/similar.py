@@ -110,10 +110,10 @@ def nearest_in_cells(vectors: DataFrame, k: int, cells: int = 16, probes: int =
     schema = "id long, v array<double>, cell int"
     typed = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
     stored = materialise(typed(vectors).mapInPandas(assign(1), schema), "cells")
-    sizes = stored.groupBy("cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
-    stored = stored.join(F.broadcast(sizes.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    asked = typed(queries).mapInPandas(assign(probes), schema).join(F.broadcast(sizes.select("cell", "parts")), "cell")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sizes = materialise(stored.groupBy("cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")), "sizes")
+    stored = stored.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    asked = typed(queries).mapInPandas(assign(probes), schema).join(F.broadcast(sizes), "cell")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def search(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):

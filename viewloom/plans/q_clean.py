@@ -275,7 +275,7 @@ def refilled_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 # 50 with 104: neighbours of the requested rows only
-@query("""SELECT row, count(DISTINCT col) AS n_nbrs FROM s_fused3_symrow WHERE row IN (SELECT row_id FROM rank_requests) AND row <> col AND val IS NOT NULL AND NOT isnan(val) GROUP BY row""")
+@query("""SELECT row, count(DISTINCT col) AS n_nbrs FROM s_fused3_symrow WHERE row IN (SELECT row_id FROM rank_requests) AND row <> col AND val IS NOT NULL AND val::VARCHAR <> 'nan' GROUP BY row""")
 def requested_neighbours(spark: SparkSession, d: str) -> DataFrame:
     from viewloom.plans.views import A, graph
 

@@ -56,7 +56,7 @@ def graph(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def graph_sql(alias: str, name: str) -> str:
-    return f"""{alias} AS (SELECT row, col, max(val) AS val FROM {name} WHERE row IS NOT NULL AND col IS NOT NULL AND row <> col AND val IS NOT NULL AND NOT isnan(val) GROUP BY row, col)"""
+    return f"""{alias} AS (SELECT row, col, max(val) AS val FROM {name} WHERE row IS NOT NULL AND col IS NOT NULL AND row <> col AND val IS NOT NULL AND val::VARCHAR <> 'nan' GROUP BY row, col)"""
 
 
 def scaled(spark: SparkSession, d: str, name: str) -> DataFrame:
