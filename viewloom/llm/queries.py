@@ -117,7 +117,7 @@ _SETS = r"""s AS (SELECT doc_idx, list_sort(list(DISTINCT t)) AS tags FROM (SELE
 P1_FOUND = f"""WITH {_SETS}, e AS (SELECT doc_idx, len(tags) AS n, unnest(tags) AS t FROM s WHERE len(tags) >= 5),
 p AS (SELECT a.doc_idx AS doc_a, b.doc_idx AS doc_b, a.n AS n_a, b.n AS n_b, count(*) AS o FROM e a JOIN e b ON a.t = b.t AND a.doc_idx < b.doc_idx GROUP BY ALL)
 SELECT doc_a, doc_b FROM p WHERE 5 * o >= 3 * (n_a + n_b - o)"""
-_EDGES = "e AS (SELECT row, col, max(val) AS val FROM s_fused3_symrow WHERE row <> col AND val IS NOT NULL AND NOT isnan(val) GROUP BY row, col)"
+_EDGES = "e AS (SELECT row, col, max(val) AS val FROM s_fused3_symrow WHERE row <> col AND val IS NOT NULL AND val::VARCHAR <> 'nan' GROUP BY row, col)"
 P7_FOUND = f"WITH {_EDGES} SELECT row AS row_id, col AS col_id FROM e QUALIFY row_number() OVER (PARTITION BY row ORDER BY val DESC, col) <= 10"
 _P3 = """WITH e AS (SELECT DISTINCT DatasetId AS d, TagId AS t FROM dataset_tags WHERE DatasetId IS NOT NULL AND TagId IS NOT NULL),
 m AS (SELECT t, count(*) AS m FROM e GROUP BY t), tot AS (SELECT count(DISTINCT d) AS n FROM e),
@@ -134,7 +134,7 @@ t AS (SELECT Id, term, max(tf) AS tf FROM (SELECT Id, r, term, count(*) AS tf FR
 df AS (SELECT term, count(*) AS df FROM t GROUP BY term), n AS (SELECT count(DISTINCT Id) AS n FROM t),
 g AS (SELECT DISTINCT doc_idx, trim(regexp_replace(lower(unnest(tags)), '[ \t]+', ' ', 'g'), ' ') AS tag FROM relevance_tag_docs WHERE doc_idx IS NOT NULL),
 i AS (SELECT tag, max({'df': df, 'idf': idf}).idf AS idf FROM (SELECT trim(regexp_replace(lower(tag), '[ \t]+', ' ', 'g'), ' ') AS tag, df, idf FROM relevance_tag_idf
-  WHERE df IS NOT NULL AND idf IS NOT NULL AND NOT isnan(idf)) WHERE tag <> '' GROUP BY tag)
+  WHERE df IS NOT NULL AND idf IS NOT NULL AND idf::VARCHAR <> 'nan' AND df::VARCHAR <> 'nan') WHERE tag <> '' GROUP BY tag)
 SELECT 'description' AS kind, t.Id AS record_id, t.term FROM t JOIN df USING (term) CROSS JOIN n WHERE tf >= 3 AND df >= 2 AND df * 50 <= n
 UNION ALL SELECT 'tag' AS kind, doc_idx AS record_id, tag AS term FROM (SELECT g.doc_idx, g.tag, count(*) OVER (PARTITION BY doc_idx) AS k,
   row_number() OVER (PARTITION BY doc_idx ORDER BY idf DESC, g.tag) AS rn FROM g JOIN i ON g.tag = i.tag) WHERE k >= 8 AND rn = 1"""
