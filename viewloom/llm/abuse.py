@@ -36,7 +36,7 @@ SURE = 4.0
 
 _TAG = re.compile(r"<[^<>]*>")
 _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]([ .\-_·/]))(?:[^\W\d_]\1)+[^\W\d_](?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]([ .\-_·/]))(?:[^\W\d_]\1)+[^\W\d_](?![^\W_]|[@$€*|+][^\W_])")
 _CHUNK = re.compile(r"[^\W_@$€*|+]*[@$€*|+]*[^\s\W_]?(?:[^\W_]|[@$€*|+](?=[^\W_])|!(?=[^\W\d_])|[*$@](?=[*]))*[^\W_](?:[$*@](?![\w*]))?", re.UNICODE)
 _CJK = re.compile("[぀-ヿ㐀-鿿가-힯]")
 _LATIN = re.compile(r"[a-z]")
