@@ -61,15 +61,13 @@ class Loaded:
 
 def _quoting_ok(parts: Column) -> Column:
     """``parts``: the record split at every quote. Even parts are outside of quotes, odd ones inside."""
-    k = F.size(parts) - 1
+    n = F.size(parts)
     first, last = parts[0], F.element_at(parts, -1)
     ends = (first == "") | first.endswith(",")
     starts = (last == "") | last.startswith(",")
-    inner = F.forall(
-        F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
-        lambda x: (x.i % 2 == 1) | (x.i == 0) | (x.i == k) | (x.p == "") | (x.p.startswith(",") & x.p.endswith(",")),
-    )
-    return F.when(k == 0, F.lit(True)).otherwise((k % 2 == 0) & ends & starts & inner)
+    # the lambda sees its own element only: a reference to ``parts`` in it would split the text again for each
+    between = F.transform(F.slice(parts, 2, F.greatest(n - 2, F.lit(0))), lambda p, i: (i % 2 == 0) | (p == "") | (p.startswith(",") & p.endswith(",")))
+    return F.when(n == 1, F.lit(True)).otherwise((n % 2 == 1) & ends & starts & F.forall(between, lambda x: x))
 
 
 def _fields(parts: Column) -> Column:
