@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _local: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    """Intermediates go when the driver ends; what a lost driver leaves is named by stage and a random id."""
+    for spark, path in _written:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the JVM may be gone
+            return
 
 
 def build_session(name: str = "viewloom", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -58,6 +70,7 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
