@@ -199,7 +199,8 @@ def fusion_combsum(spark: SparkSession, d: str) -> DataFrame:
 # 137
 def _reranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     views = {n: materialise(e, "view") for n, e in two_views(spark, d).items()}
-    base = materialise(fu.fuse_fixed(views, {"a": 0.5, "b": 0.5}, 20, None).select("row", "col", F.round("val", 9).alias("val")), "base")
+    half = fu.views_table(views).groupBy("row", "col").agg(F.round(F.sum(0.5 * F.col("val")), 9).alias("val"))
+    base = materialise(g.top_edges(half, 20).drop("rank"), "base")
     t = doc_tags(spark, d).join(tag_idf(spark, d), "tag").select(F.col("row").alias("doc"), "tag", "idf")
     tot = t.groupBy("doc").agg(F.sum("idf").alias("total"))
     s = base.select("row", "col").join(t.select(F.col("doc").alias("row"), "tag", "idf"), "row").join(t.select(F.col("doc").alias("col"), "tag"), ["col", "tag"])
@@ -210,8 +211,8 @@ def _reranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return base, fu.rerank(base, views, boost, same, 0.1, 0.05, 0.02)
 
 
-_RR = f"""{TWO}, {DT}, {IDF}, {OW}, f AS (SELECT row, col, sum(0.5 * val) AS val FROM v GROUP BY row, col),
-base AS (SELECT row, col, round(val, 9) AS val FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY val DESC, col) <= 20), sup AS (SELECT row, col, count(DISTINCT view) / 2 AS support FROM v GROUP BY row, col),
+_RR = f"""{TWO}, {DT}, {IDF}, {OW}, f AS (SELECT row, col, round(sum(0.5 * val), 9) AS val FROM v GROUP BY row, col),
+base AS (SELECT row, col, val FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY val DESC, col) <= 20), sup AS (SELECT row, col, count(DISTINCT view) / 2 AS support FROM v GROUP BY row, col),
 ti AS (SELECT dt.row AS doc, tag, idf FROM dt JOIN idf USING (tag)), tot AS (SELECT doc, sum(idf) AS total FROM ti GROUP BY doc),
 sh AS (SELECT base.row, base.col, sum(x.idf) AS s FROM base JOIN ti x ON x.doc = base.row JOIN ti y ON y.doc = base.col AND y.tag = x.tag GROUP BY ALL),
 bo AS (SELECT sh.row, sh.col, s / (p.total + q.total - s) AS boost FROM sh JOIN tot p ON p.doc = sh.row JOIN tot q ON q.doc = sh.col),
