@@ -46,6 +46,7 @@ def fuse(views: DataFrame, alpha: DataFrame, k: int, norm: str | None = "l1") ->
     e = top_edges(e, k).drop("rank")
     if norm is None:
         return e
+    # at most k edges a row are left here
     e = e.withColumn("_t", F.sum("val").over(Window.partitionBy("row"))).where(F.col("_t") >= TINY).drop("_t")
     return row_normalise(e, norm)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TINY = 1e-12
@@ -24,11 +24,21 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("col").alias("row"), F.col("row").alias("col"), "val")
 
 
+def with_total(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over its key group as column ``name``.
+
+    Totals are pre-aggregated and joined back: small totals are broadcast by AQE, and a hot key is a skewed join that AQE splits;
+    a window would sort and hold the hot group in one task. NULL keys are left out.
+    """
+    return df.join(df.groupBy(*keys).agg(F.sum(value).alias(name)), keys)
+
+
 def row_normalise(edges: DataFrame, kind: str = "l1") -> DataFrame:
-    """Rows at L1 (or L2) length 1; sums under 1e-12 count as 1e-12."""
-    w = Window.partitionBy("row")
-    total = F.sum("val").over(w) if kind == "l1" else F.sqrt(F.sum(F.col("val") * F.col("val")).over(w))
-    return edges.withColumn("val", F.col("val") / F.greatest(total, F.lit(TINY)))
+    """(row, col, val): rows at L1 (or L2) length 1; sums under 1e-12 count as 1e-12."""
+    v = F.col("val")
+    x = with_total(edges.select("row", "col", "val"), ["row"], v if kind == "l1" else v * v, "_total")
+    total = F.col("_total") if kind == "l1" else F.sqrt("_total")
+    return x.select("row", "col", (v / F.greatest(total, F.lit(TINY))).alias("val"))
 
 
 def top_edges(edges: DataFrame, k: int) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.operators.clean import dense_index
+from viewloom.operators.graph import with_total
 
 
 def vocabulary(edges: DataFrame, term: str, min_df: int = 1, max_df: int | None = None) -> DataFrame:
@@ -18,8 +19,8 @@ def vocabulary(edges: DataFrame, term: str, min_df: int = 1, max_df: int | None
 
 def unit_rows(edges: DataFrame) -> DataFrame:
     """Rows at L2 length 1; a zero row stays 0."""
-    n = F.sqrt(F.sum(F.col("val") * F.col("val")).over(Window.partitionBy("row")))
-    return edges.withColumn("val", F.when(n > 0, F.col("val") / n).otherwise(F.lit(0.0)))
+    x = with_total(edges, ["row"], F.col("val") * F.col("val"), "_total")
+    return x.withColumn("val", F.when(F.col("_total") > 0, F.col("val") / F.sqrt("_total")).otherwise(F.lit(0.0))).drop("_total")
 
 
 def inverse_frequency(df: Column, n: Column, kind: str = "smooth") -> Column:
@@ -39,7 +40,7 @@ def tf_idf(edges: DataFrame, n_rows: int, norm: str = "l2") -> DataFrame:
     e = edges.join(df, "col").select("row", "col", inverse_frequency(F.col("df"), F.lit(float(n_rows))).alias("val"))
     if norm == "l2":
         return unit_rows(e)
-    return e.withColumn("val", F.col("val") / F.sqrt(F.count("*").over(Window.partitionBy("row"))))
+    return with_total(e, ["row"], F.lit(1), "_n").withColumn("val", F.col("val") / F.sqrt("_n")).drop("_n")
 
 
 def ppmi(edges: DataFrame, l2: bool = True) -> DataFrame:

@@ -114,9 +114,9 @@ def _fused_sql(f: str, k: int = 20) -> str:
     return f"t AS (SELECT * FROM {f} QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= {k}), z AS (SELECT row, col, val / greatest(sum(val) OVER (PARTITION BY row), 1e-12) AS val FROM t)"
 
 
-def _rows_of(df: DataFrame) -> DataFrame:
+def _rows_of(df: DataFrame, digits: int = 6) -> DataFrame:
     """Rounded sums per row and its best neighbour: unlike single edges they don't depend on the order of equal values."""
-    return df.groupBy("row").agg(F.count("*").alias("n"), F.round(F.sum("val"), 6).alias("total"), F.round(F.max("val"), 6).alias("best"))
+    return df.groupBy("row").agg(F.count("*").alias("n"), F.round(F.sum("val"), digits).alias("total"), F.round(F.max("val"), digits).alias("best"))
 
 
 _ROWS = "SELECT row, count(*) AS n, round(sum(val), 6) AS total, round(max(val), 6) AS best FROM z GROUP BY row"
@@ -220,14 +220,14 @@ rr AS (SELECT base.row, base.col, base.val, base.val + 0.1 * coalesce(support, 0
 LEFT JOIN bo ON bo.row = base.row AND bo.col = base.col LEFT JOIN ow o1 ON o1.doc = base.row LEFT JOIN ow o2 ON o2.doc = base.col)"""
 
 
-@query(f"WITH {_RR}, z AS (SELECT row, col, rr AS val FROM rr) {_ROWS}")
+@query(f"WITH {_RR}, z AS (SELECT row, col, rr AS val FROM rr) {_ROWS.replace(', 6)', ', 4)')}")
 def fusion_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return _rows_of(_reranked(spark, d)[1])
+    return _rows_of(_reranked(spark, d)[1], 4)
 
 
-@query(f"WITH {_RR}, z AS (SELECT row, col, 0.7 * val + 0.3 * rr AS val FROM rr) {_ROWS}")
+@query(f"WITH {_RR}, z AS (SELECT row, col, 0.7 * val + 0.3 * rr AS val FROM rr) {_ROWS.replace(', 6)', ', 4)')}")
 def fusion_blend(spark: SparkSession, d: str) -> DataFrame:
-    return _rows_of(fu.blend(*_reranked(spark, d), 0.3))
+    return _rows_of(fu.blend(*_reranked(spark, d), 0.3), 4)
 
 
 # 138
