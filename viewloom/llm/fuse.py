@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,42 +22,87 @@ GROUP_ITEMS = 200_000
 CUTS = 64
 
 
-def rank_walk(scores: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
-    """Stationary probabilities of the items (rows) under the scores (columns, NaN = the item lacks this score).
+def rank_walks(scores: np.ndarray, group: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
+    """Stationary probabilities of the items (rows) of many groups (``group``: ascending numbers) under the scores (columns,
+    NaN = the item lacks this score), summing to 1 in each group.
 
-    From an item: pick a score, then jump uniformly to an item that ranks higher by it; to any item if none does. An item
-    that lacks the score ranks below all that have it. With probability 1 - ``damping`` jump to any item. Only the order
-    within a score counts, so unit, offset and spread don't. Each step is one prefix sum per score over its sorted items.
+    From an item: pick a score, then jump uniformly to an item of the group that ranks higher by it; to any item if none does.
+    An item that lacks the score ranks below all that have it; a score that no item of the group has isn't picked. With
+    probability 1 - ``damping`` jump to any item. Only the order within a score counts, so unit, offset and spread
+    don't. Each step is one prefix sum per score over the sorted items of all groups at once.
     """
-    n = len(scores)
-    views = []
+    _, g = np.unique(group, return_inverse=True)
+    n_groups = int(g.max()) + 1 if len(g) else 0
+    size = np.bincount(g, minlength=n_groups).astype(float)
+    views, count = [], np.zeros(n_groups)
     for v in range(scores.shape[1]):
-        have = np.flatnonzero(~np.isnan(scores[:, v]))
-        if len(have):
-            _, level = np.unique(-scores[have, v], return_inverse=True)  # 0 = best
-            size = np.bincount(level)
-            views.append((have, np.flatnonzero(np.isnan(scores[:, v])), level, (np.cumsum(size) - size)[level]))
-    p = np.full(n, 1.0 / n)
+        s = scores[:, v]
+        have = np.flatnonzero(~np.isnan(s))
+        if not len(have):
+            continue
+        have = have[np.lexsort((-s[have], g[have]))]  # best first within each group
+        gh, sh = g[have], s[have]
+        new_group = np.r_[True, gh[1:] != gh[:-1]]
+        new_level = new_group | np.r_[True, sh[1:] != sh[:-1]]
+        level = np.cumsum(new_level) - 1
+        at = np.arange(len(have))
+        first = np.flatnonzero(new_group)[np.cumsum(new_group) - 1]  # where the item's group begins
+        higher = at[new_level][level] - first
+        n_have = np.bincount(gh, minlength=n_groups).astype(float)
+        count += n_have > 0
+        last = np.r_[np.flatnonzero(new_level)[1:] - 1, len(have) - 1]  # last item of each level
+        lack = np.flatnonzero(np.isnan(s) & (n_have[g] > 0))
+        views.append((have, gh, higher, last[level], lack, n_have))
+    p = 1 / size[g] if len(g) else np.zeros(0)
     if not views:
         return p
     for _ in range(steps):
-        q = np.zeros(n)
-        for have, lack, level, higher in views:
+        q = np.zeros(len(g))
+        for have, gh, higher, last, lack, n_have in views:
             mass = p[have]
-            per = np.bincount(level, np.where(higher > 0, mass / np.maximum(higher, 1), 0.0))
-            below = per.sum() - np.cumsum(per)
-            q[have] += below[level] + p[lack].sum() / len(have)
-            q += mass[higher == 0].sum() / n
-        p = (1 - damping) / n + damping * q / len(views)
+            flow = np.where(higher > 0, mass / np.maximum(higher, 1), 0.0)
+            run = np.cumsum(flow)
+            total = np.bincount(gh, flow, n_groups)
+            before = np.cumsum(total) - total
+            below = total[gh] - (run[last] - before[gh])
+            absent = np.bincount(g[lack], p[lack], n_groups)
+            q[have] += below + (absent / np.maximum(n_have, 1))[gh]
+            q += (np.bincount(gh, np.where(higher == 0, mass, 0.0), n_groups) / size)[g]
+        used = np.maximum(count, 1)[g]
+        p = (1 - damping) / size[g] + damping * np.where(count[g] > 0, q / used, 1 / size[g])
     return p
 
 
-def _solve(views: list[str], steps: int):
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = rank_walk(pdf[views].to_numpy(dtype=float), steps=steps)
-        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "p": p})
+def rank_walk(scores: np.ndarray, damping: float = DAMPING, steps: int = STEPS) -> np.ndarray:
+    """``rank_walks`` of one group."""
+    return rank_walks(scores, np.zeros(len(scores), dtype=np.int64), damping, steps)
+
 
-    return one
+def _solve(views: list[str], steps: int):
+    """Whole groups from sorted batches: rows of the last group of a batch wait for the next batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            last = pdf["row"].iloc[-1]
+            closed, tail = pdf[pdf["row"] != last], pdf[pdf["row"] == last]
+            if rest and rest[0]["row"].iloc[0] == last:
+                rest.append(tail)
+                continue
+            done = pd.concat([*rest, closed])
+            rest = [tail]
+            if len(done):
+                yield solved(done)
+        if rest:
+            yield solved(pd.concat(rest))
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = rank_walks(pdf[views].to_numpy(dtype=float), pdf["row"].to_numpy(), steps=steps)
+        return pd.DataFrame({"row": pdf["row"].to_numpy(), "col": pdf["col"].to_numpy(), "p": p})
+
+    return run
 
 
 def _cuts_under(cuts: str, value: str) -> Column:
@@ -127,8 +174,8 @@ def fuse_rankings(views: list[DataFrame], requests: DataFrame, group_items: int
     items = materialise(items, "items")
     large = materialise(items.groupBy("row").count().where(F.col("count") > group_items).select("row"), "large")
     light = items.join(F.broadcast(large), "row", "left_anti")
-    schema = "row long, col long, p double"
-    out = light.groupBy("row").applyInPandas(_solve(names, steps), schema)
+    light = light.select("row", "col", *names).repartition("row").sortWithinPartitions("row", "col")
+    out = light.mapInPandas(_solve(names, steps), "row long, col long, p double")
     if not large.isEmpty():
         out = out.unionByName(_walk_large(items.join(F.broadcast(large), "row", "left_semi"), names, steps, DAMPING))
     order = Window.partitionBy("row").orderBy(F.desc(F.round("p", 12)), F.asc("col"))
