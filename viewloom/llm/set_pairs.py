@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from viewloom.session import materialise
+
 #: Lengths are grouped by powers of this ratio; short lengths each have their own group.
 LENGTH_RATIO = 1.1
 #: A token is hot from this share of the distinct sets on; at most (mean set size / HOT_SHARE) tokens are.
@@ -124,7 +126,7 @@ def similar_classes(sets: DataFrame, num: int = 3, den: int = 5) -> tuple[DataFr
     members: (id, class_id). pairs: (a, b, shared, joint) between different classes. A group of exact copies costs one
     class, whatever its size. Empty input gives empty results.
     """
-    classes = sets.groupBy("tokens").agg(F.min("id").alias("class_id"), F.first("n").alias("n"))
+    classes = materialise(sets.groupBy("tokens").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes")
     members = sets.join(classes.select("tokens", "class_id"), "tokens").select("id", "class_id")
     return members, similar_pairs(classes.select(F.col("class_id").alias("id"), F.lit(0).alias("side"), "tokens", "n"), num, den)
 
@@ -132,7 +134,7 @@ def similar_classes(sets: DataFrame, num: int = 3, den: int = 5) -> tuple[DataFr
 def similar_between(left: DataFrame, right: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
     """(a, b, shared, joint): pairs of a set of ``left`` and a set of ``right`` (id, tokens, n), copies included."""
     sides = [(left, 0), (right, 1)]
-    classes = [df.groupBy("tokens").agg(F.min("id").alias("class_id"), F.first("n").alias("n")) for df, _ in sides]
+    classes = [materialise(df.groupBy("tokens").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes") for df, _ in sides]
     members = [df.join(c.select("tokens", "class_id"), "tokens").select("id", "class_id") for (df, _), c in zip(sides, classes, strict=True)]
     both = classes[0].withColumn("side", F.lit(0)).unionByName(classes[1].withColumn("side", F.lit(1)))
     pairs = similar_pairs(both.select(F.col("class_id").alias("id"), "side", "tokens", "n"), num, den)
