@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewloom.llm import abuse, cooccur, encode, fuse, leaks, set_pairs, terms, topn
+from viewloom.session import materialise
 from viewloom.sources.tables import table
 
 
 def _tag_sets(spark: SparkSession, d: str) -> DataFrame:
-    from viewloom.session import materialise
-
     return materialise(set_pairs.tag_sets(table(spark, d, "relevance_tag_docs"), "doc_idx", "tags", 5), "sets")
 
 
@@ -68,7 +67,8 @@ def p6_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    best = topn.top_n(topn.clean_edges(table(spark, d, "s_fused3_symrow")), "row", "col", "val", 10)
+    edges = materialise(topn.clean_edges(table(spark, d, "s_fused3_symrow")), "edges")
+    best = topn.top_n(edges, "row", "col", "val", 10)
     return best.select(F.col("row").alias("row_id"), F.col("col").alias("col_id"))
 
 
