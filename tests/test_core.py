@@ -267,6 +267,8 @@ def test_profile(spark):
     assert {c: r.dtype for c, r in p.items()} == {"row_id": "numeric", "num": "numeric", "cat": "categorical", "day": "datetime", "free": "text", "nothing": "categorical", "const": "categorical"}
     assert p["num"].num_min == 0 and p["num"].num_max == 39 and p["num"].num_median == 19.5 and p["nothing"].missing_pct == 100 and p["nothing"].n_unique == 0
     assert p["day"].span_days == 27
+    rough = {r.col_name: r for r in profile.profile(profile.long_columns(df), exact=False).collect()}
+    assert abs(rough["num"].num_median - 19.5) <= 1 and abs(rough["num"].n_unique - 40) <= 1
     assert profile.sample_table(df, 1000, 60).columns == ["num", "cat", "day", "free"]
     text_ = {r.col_name: r.description for r in profile.describe(profile.profile(profile.long_columns(df)), profile.top_values(profile.long_columns(df))).collect()}
     assert text_["cat"].startswith('Column "cat": categorical with 3 unique values') and "datetime from 2024-01-01 to 2024-01-28" in text_["day"]

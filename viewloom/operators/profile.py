@@ -22,11 +22,14 @@ def long_columns(df: DataFrame, keys: list[str] | None = None, cols: list[str] |
     return df.select(*keys, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(keys, cols, "col_name", "value")
 
 
-def profile(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def profile(long: DataFrame, keys: list[str] | None = None, exact: bool = True) -> DataFrame:
     """One row per (keys..., col_name): dtype, missing_pct, n_unique, unique_pct and the statistics of its type.
 
     One pass: type by cascade numeric >= .95, datetime >= .9, text with mean length >= 30, else categorical. An all-NULL column
     is categorical with n_unique 0. std is the sample deviation (0 for one value).
+
+    ``exact``: exact medians and distinct counts, which hold a column's distinct values; for tables of unbounded size pass False (a mergeable
+    quantile sketch and HyperLogLog++, relative error 0.0001 and about 1 %).
     """
     keys = [*(keys or []), "col_name"]
     num, at = F.expr("try_cast(value as double)"), F.try_to_timestamp("value")
@@ -35,12 +38,12 @@ def profile(long: DataFrame, keys: list[str] | None = None) -> DataFrame:
     g = x.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count("value").alias("n_ok"),
-        F.count_distinct("value").alias("n_unique"),
+        (F.count_distinct("value") if exact else F.approx_count_distinct("value", 0.01)).alias("n_unique"),
         F.count("num").alias("n_num"),
         F.count("at").alias("n_at"),
         F.min("num").alias("num_min"),
         F.max("num").alias("num_max"),
-        F.median("num").alias("num_median"),
+        (F.median("num") if exact else F.approx_percentile("num", 0.5, 10_000)).alias("num_median"),
         F.avg("num").alias("num_mean"),
         F.coalesce(F.stddev_samp("num"), F.lit(0.0)).alias("num_std"),
         F.min("at").alias("earliest"),
