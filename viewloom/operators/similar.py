@@ -87,7 +87,7 @@ def cell_centres(vectors: DataFrame, cells: int, sample: int = 20_000, steps: in
     return c
 
 
-def nearest_in_cells(vectors: DataFrame, k: int, cells: int = 16, probes: int = 8, queries: DataFrame | None = None, part: int = 2048) -> DataFrame:
+def nearest_in_cells(vectors: DataFrame, k: int, cells: int = 16, probes: int = 12, queries: DataFrame | None = None, part: int = 2048) -> DataFrame:
     """Approximate ``nearest``: every vector lies in the cell of its nearest centre, a query searches its ``probes`` nearest cells.
 
     Cells are cut into parts of about ``part`` vectors, so a crowded cell is many tasks.
