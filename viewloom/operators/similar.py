@@ -23,18 +23,20 @@ def anchored_cosine(edges: DataFrame, k: int, anchors: int = 3, postings: int =
     term. cosine: sum of products over the shared anchors / product of the rows' lengths; binary: shared anchors / root of the product of the rows' degrees. These
     limits are part of the definition and bound the join: at most anchors * postings candidates per row. Ties by id.
     """
-    rows = edges.groupBy("row").agg(F.sqrt(F.sum(F.col("val") * F.col("val"))).alias("len"), F.count("*").alias("deg"))
-    df = edges.groupBy("col").agg(F.count("*").alias("df"))
+    size = F.sqrt(F.sum(F.col("val") * F.col("val"))) if mode == "cosine" else F.sqrt(F.count("*"))
+    rows = edges.groupBy("row").agg(F.greatest(size, F.lit(1e-12)).alias("size"))
+    df = edges.groupBy("col").agg(F.count("*").alias("df")).where(F.col("df") <= df_cap).select("col")
+    weight = F.col("val") / F.col("size") if mode == "cosine" else 1 / F.col("size")
     strongest = edges.withColumn("rn", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("val"), F.asc("col")))).where(F.col("rn") <= anchors)
-    mine = strongest.join(df, "col").where(F.col("df") <= df_cap).select("row", F.col("col").alias("term"), F.col("val").alias("w1"))
+    mine = strongest.join(df, "col", "left_semi").join(rows, "row").select("row", F.col("col").alias("term"), weight.alias("w1"))
     theirs = edges.withColumn("rn", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("val"), F.asc("row")))).where(F.col("rn") <= postings)
-    theirs = theirs.select(F.col("row").alias("other"), F.col("col").alias("term"), F.col("val").alias("w2"))
-    pairs = mine.join(theirs, "term").where("row <> other").groupBy("row", "other").agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"), F.count("*").alias("shared"))
-    a = rows.select("row", F.col("len").alias("l1"), F.col("deg").alias("d1"))
-    b = rows.select(F.col("row").alias("other"), F.col("len").alias("l2"), F.col("deg").alias("d2"))
-    both = pairs.join(a, "row").join(b, "other")
-    val = F.col("dot") / (F.greatest("l1", F.lit(1e-12)) * F.greatest("l2", F.lit(1e-12))) if mode == "cosine" else F.col("shared") / F.sqrt(F.col("d1").cast("double") * F.col("d2"))
-    return top_edges(both.select("row", F.col("other").alias("col"), F.round(val, 9).alias("val")), k).drop("rank")
+    theirs = theirs.join(rows, "row").select(F.col("row").alias("other"), F.col("col").alias("term"), weight.alias("w2"))
+    # partitions by row serve the sums and the top list: a row has at most anchors * postings candidates. With a stated number
+    # AQE doesn't merge them, whose work is far larger than their bytes
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = materialise(mine, "anchors").repartition(parts, "row").join(theirs, "term").where("row <> other").repartition(parts, "row")
+    sims = pairs.groupBy("row", "other").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 9).alias("val"))
+    return top_edges(sims.select("row", F.col("other").alias("col"), "val"), k).drop("rank")
 
 
 def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, positive_only: bool = False, block: int = BLOCK) -> DataFrame:
