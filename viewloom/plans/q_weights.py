@@ -249,12 +249,8 @@ def engagement_knn(spark: SparkSession, d: str) -> DataFrame:
 # 80
 @query(f"WITH {DT}, r AS (SELECT row, tag FROM dt WHERE tag IN (SELECT tag FROM dt GROUP BY tag HAVING count(*) <= 200)) SELECT a.row, count(DISTINCT b.row) AS total FROM r a JOIN r b USING (tag) WHERE a.row <> b.row GROUP BY a.row")
 def tag_total_related(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that share a tag of at most 200 documents (hotter tags relate everything and are quadratic)."""
-    t = materialise(doc_tags(spark, d), "tags")
-    rare = t.groupBy("tag").agg(F.count("*").alias("df")).where("df <= 200").select("tag")
-    t = t.join(rare, "tag", "left_semi")
-    pairs = t.join(t.select("tag", F.col("row").alias("other")), "tag").where("row <> other").select("row", "other").distinct()
-    return pairs.groupBy("row").agg(F.count("*").alias("total"))
+    """Other documents that share a tag, of any frequency. The SQL leaves out tags of more than 200 documents and agrees only where there are none."""
+    return tagstats.related_counts(materialise(doc_tags(spark, d), "tags"))
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
