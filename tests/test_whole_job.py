@@ -2,7 +2,7 @@
 
 import random
 
-from viewloom.operators import tagstats
+from viewloom.operators import fusion, graph, similar, tagstats
 from viewloom.plans.registry import QUERIES
 
 
@@ -27,3 +27,26 @@ def test_related_counts_equal_brute_force(spark, same):
     same(tagstats.related_counts(df), related(tags))
     same(tagstats.related_counts(df, block=70, chunk=50), related(tags))
     assert tagstats.related_counts(df.limit(0)).count() == 0
+
+
+def test_an_owner_of_many_records_keeps_its_edges(spark):
+    o = spark.range(6_800).selectExpr("id", "7L as owner")
+    assert similar.same_creator(o).where("row = 5").count() == 6_799
+
+
+def test_fusion_keeps_an_owner_of_many_records(spark, tmp_path):
+    spark.range(6_800).selectExpr("id as doc_idx", "7L as CreatorUserId").write.parquet(str(tmp_path / "beh_base.parquet"))
+    for name in ("s_fused3_symrow", "s_tabcontent_symrow"):
+        spark.createDataFrame([(0, 1, 0.5), (9, 8_000, 0.5)], "row long, col long, val double").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.row: (r.n, r.total) for r in QUERIES["fusion_weighted_views"](spark, str(tmp_path)).collect()}
+    assert len(got) == 6_801 and got[5] == (20, round(20 * 0.1 / 6_799, 6)) and got[8_000][0] == 1
+
+
+def test_part_of_the_creator_view_is_enough(spark):
+    r = random.Random(8)
+    o = spark.createDataFrame([(i, r.choice([1, 1, 1, 2, 3, None])) for i in range(120)], "id long, owner long")
+    e = spark.createDataFrame(sorted({(r.randrange(130), r.randrange(130)): r.random() / 9 for _ in range(900)}.items()), "e struct<row:long,col:long>, val double").selectExpr("e.row", "e.col", "val").where("row <> col").cache()
+    w = {"a": 0.5, "creator": 0.5}
+    whole, part = graph.row_normalise(similar.same_creator(o)), similar.same_creator_among(o, e, 6)
+    best = lambda c: sorted((x.row, x.col, round(x.val, 12)) for x in fusion.fuse_fixed({"a": e, "creator": c}, w, 6, None).collect())
+    assert best(part) == best(whole) and part.count() < whole.count()

@@ -138,14 +138,38 @@ def nearest_in_cells(vectors: DataFrame, k: int, cells: int = 16, probes: int =
     return top_edges(found, k).drop("rank")
 
 
-def same_creator(owners: DataFrame, cap: int = 6_736) -> DataFrame:
-    """(row, col, val 1.0): records (id, owner) of one owner; owners of more than ``cap`` records take no part. NULL owners have none."""
+def same_creator(owners: DataFrame, cap: int | None = None) -> DataFrame:
+    """(row, col, val 1.0): records (id, owner) of one owner, all pairs; with ``cap``, owners of more records take no part. NULL owners have none."""
     o = owners.where(F.col("owner").isNotNull()).select("id", "owner").distinct()
-    small = o.groupBy("owner").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("owner")
-    o = o.join(small, "owner", "left_semi")
+    n = o.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1")
+    o = o.join((n if cap is None else n.where(F.col("n") <= cap)).select("owner"), "owner", "left_semi")
     return o.select(F.col("id").alias("row"), "owner").join(o.select(F.col("id").alias("col"), "owner"), "owner").where("row <> col").select("row", "col", F.lit(1.0).alias("val"))
 
 
+def owner_members(owners: DataFrame) -> DataFrame:
+    """(id, owner, n, rank): the records of owners with ``n`` > 1 of them, numbered from 1 in order of id. NULL owners have none."""
+    o = owners.where(F.col("owner").isNotNull()).select("id", "owner").distinct()
+    n = o.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1")
+    return o.join(n, "owner").withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy("id")))
+
+
+def same_creator_among(owners: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(row, col, val): the edges of ``same_creator`` at L1 rows that can be among a row's ``k`` best in a sum with ``edges``.
+
+    All edges of a row have the value 1 / (n - 1), so those in ``edges`` and the row's first ``k`` others by col are enough, whatever
+    the weights; (id, owner) needs no expanded pairs. ``edges`` (row, col) holds the pairs of all other views.
+    """
+    m = materialise(owner_members(owners), "members")
+    a, b = m.select(F.col("id").alias("row"), "owner", "n"), m.select(F.col("id").alias("col"), F.col("owner").alias("_owner"))
+    inside = edges.select("row", "col").where("row <> col").distinct().join(a, "row").join(b, "col").where("owner = _owner").select("row", "col", "n")
+    inside = materialise(inside, "inside")
+    # itself and the edges in hand may stand among the first
+    last = F.least(F.col("n"), F.coalesce("_in", F.lit(0)) + k + 1)
+    first = a.join(inside.groupBy("row").agg(F.count("*").alias("_in")), "row", "left").select("row", "owner", "n", F.explode(F.sequence(F.lit(1).cast("long"), last)).alias("rank"))
+    first = first.join(m.select("owner", F.col("rank").cast("long").alias("rank"), F.col("id").alias("col")), ["owner", "rank"]).where("row <> col")
+    return first.select("row", "col", "n").unionByName(inside).distinct().select("row", "col", (F.lit(1.0) / (F.col("n") - 1)).alias("val"))
+
+
 def item_cosine(uses: DataFrame) -> DataFrame:
     """(row, col, val): cosine of items over users, from (user, item, w); both directions, no diagonal."""
     w = uses.groupBy("user", "item").agg(F.sum("w").alias("w"))

@@ -187,10 +187,10 @@ def best_weight(spark: SparkSession, d: str) -> DataFrame:
 # 180: five weight sets
 @query()
 def four_view_grid(spark: SparkSession, d: str) -> DataFrame:
-    from viewloom.operators.graph import row_normalise
-    from viewloom.plans.views import creator_graph
+    from viewloom.plans.views import creator_view
 
-    v = {n: materialise(e, "view") for n, e in two_views(spark, d).items()} | {"creator": materialise(row_normalise(creator_graph(spark, d)), "view")}
+    v = {n: materialise(e, "view") for n, e in two_views(spark, d).items()}
+    v["creator"] = materialise(creator_view(spark, d, v, K), "view")
     sets = [(f"g{i}", n, w) for i, ws in enumerate([(1, 0, 0), (0.5, 0.5, 0), (0.4, 0.4, 0.2), (0.3, 0.3, 0.4), (0.2, 0.6, 0.2)]) for n, w in zip(v, ws, strict=True) if w > 0]
     w = spark.createDataFrame([(m, n, float(x)) for m, n, x in sets], "method string, view string, w double")
     e = fu.views_table(v).join(F.broadcast(w), "view").groupBy("method", "row", "col").agg(F.round(F.sum(F.col("w") * F.col("val")), 9).alias("val"))

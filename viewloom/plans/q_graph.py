@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from viewloom.operators import fusion as fu
 from viewloom.operators import graph as g
-from viewloom.plans.views import DT, IDF, OW, TWO, A, B, creator_graph, doc_tags, graph, graph_sql, owners, scaled, scaled_sql, tag_idf, two_views
+from viewloom.plans.views import DT, IDF, OW, TWO, A, B, creator_view, doc_tags, graph, graph_sql, owners, scaled, scaled_sql, tag_idf, two_views
 from viewloom.session import materialise
 from viewloom.sources.tables import table
 
@@ -171,7 +171,8 @@ def fusion_requested_rows(spark: SparkSession, d: str) -> DataFrame:
 w AS (SELECT row, col, 0.3 * val AS val FROM a UNION ALL SELECT row, col, 0.2 * val FROM b UNION ALL SELECT row, col, 0.1 * val / sum(val) OVER (PARTITION BY row) FROM cg),
 f AS (SELECT row, col, sum(val) AS val FROM w GROUP BY row, col), z AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= 20) {_ROWS}""")
 def fusion_weighted_views(spark: SparkSession, d: str) -> DataFrame:
-    views = two_views(spark, d) | {"creator": g.row_normalise(creator_graph(spark, d)), "off": scaled(spark, d, B)}
+    views = two_views(spark, d)
+    views |= {"creator": creator_view(spark, d, views, 20), "off": scaled(spark, d, B)}
     return _rows_of(fu.fuse_fixed(views, {"a": 0.3, "b": 0.2, "creator": 0.1, "off": 0.0}, 20, None))
 
 

@@ -88,6 +88,16 @@ def creator_graph(spark: SparkSession, d: str) -> DataFrame:
     return same_creator(owners(spark, d).select(F.col("doc").alias("id"), "owner"))
 
 
+def creator_view(spark: SparkSession, d: str, views: dict[str, DataFrame], k: int) -> DataFrame:
+    """``creator_graph`` at L1 rows, as far as the ``k`` best of its sum with ``views`` can need it."""
+    from functools import reduce
+
+    from viewloom.operators.similar import same_creator_among
+
+    pairs = reduce(DataFrame.unionByName, [e.select("row", "col") for e in views.values()])
+    return same_creator_among(owners(spark, d).select(F.col("doc").alias("id"), "owner"), pairs, k)
+
+
 def owners(spark: SparkSession, d: str) -> DataFrame:
     """(doc, owner > 0): the least creator a doc_idx names."""
     b = table(spark, d, "beh_base").where("doc_idx is not null and CreatorUserId > 0")
