@@ -61,7 +61,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every term that is more likely elite than not in a record."""
-    return terms.distinctive_terms(table(spark, d, "metadata_merged_raw"), "Id", "Description", 2).where("score >= 0.5").select(
+    return terms.distinctive_terms(table(spark, d, "metadata_merged_raw"), "Id", "Description").where("score >= 0.5").select(
         F.col("id").alias("record_id"), "term", "tf", "df", F.round("score", 6).alias("score")
     )
 
