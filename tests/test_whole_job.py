@@ -50,3 +50,11 @@ def test_part_of_the_creator_view_is_enough(spark):
     whole, part = graph.row_normalise(similar.same_creator(o)), similar.same_creator_among(o, e, 6)
     best = lambda c: sorted((x.row, x.col, round(x.val, 12)) for x in fusion.fuse_fixed({"a": e, "creator": c}, w, 6, None).collect())
     assert best(part) == best(whole) and part.count() < whole.count()
+
+
+def test_random_walks_have_the_production_size(spark, tmp_path):
+    rows = [(i, [f"a{i % 5}", f"b{i % 5}"]) for i in range(60)]
+    spark.createDataFrame(rows, "doc_idx long, tags array<string>").write.parquet(str(tmp_path / "relevance_tag_docs.parquet"))
+    got = QUERIES["random_walks"](spark, str(tmp_path)).collect()
+    assert {(r.start, r.walk) for r in got} == {(i, w) for i in range(60) for w in range(10)} and {r.length for r in got} == {40}
+    assert all(int(x) % 5 == r.start % 5 for r in got for x in r.path.split(">"))
