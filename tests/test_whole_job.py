@@ -3,6 +3,7 @@
 import random
 
 from viewloom.operators import fusion, graph, similar, tagstats
+from viewloom.plans import q_walks
 from viewloom.plans.registry import QUERIES
 
 
@@ -58,3 +59,18 @@ def test_random_walks_have_the_production_size(spark, tmp_path):
     got = QUERIES["random_walks"](spark, str(tmp_path)).collect()
     assert {(r.start, r.walk) for r in got} == {(i, w) for i in range(60) for w in range(10)} and {r.length for r in got} == {40}
     assert all(int(x) % 5 == r.start % 5 for r in got for x in r.path.split(">"))
+
+
+def _paths(spark, monkeypatch):
+    paths = {(1, 0): list(range(100, 130)), (1, 1): [1, 2], (20, 0): list(range(40))}
+    w = spark.createDataFrame([(s, n, p) for (s, n), p in paths.items()], "start long, walk int, path array<long>")
+    monkeypatch.setattr(q_walks, "_walks", lambda spark, d: w)
+    return paths
+
+
+def test_negatives_for_every_position_of_every_walk(spark, monkeypatch):
+    paths = _paths(spark, monkeypatch)
+    monkeypatch.setattr(q_walks, "_ppmi", lambda spark, d: spark.createDataFrame([(i, c, 1.0) for i in range(6) for c in range(1 + 3 * i)], "row long, col long, val double"))
+    got = {(r.start, r.walk, r.at, r.slot): r.negative for r in QUERIES["negative_draws"](spark, "").collect()}
+    assert set(got) == {(s, n, i, k) for (s, n), p in paths.items() for i in range(len(p)) for k in range(5)}
+    assert set(got.values()) == set(range(6))
