@@ -68,6 +68,14 @@ def _paths(spark, monkeypatch):
     return paths
 
 
+def test_pairs_and_vectors_come_from_the_walks(spark, monkeypatch):
+    paths = _paths(spark, monkeypatch)
+    got = {tuple(r) for r in QUERIES["skip_gram_pairs"](spark, "").collect()}
+    near = {(s, n, i, j, p[i], p[j]) for (s, n), p in paths.items() for i in range(len(p)) for j in range(max(0, i - 5), min(len(p), i + 6)) if i != j}
+    assert got <= near and len(got) > len(near) / 5 and max(r[2] for r in got) > 35
+    assert {r.id for r in QUERIES["word2vec_embeddings"](spark, "").collect()} == {x for p in paths.values() for x in p}
+
+
 def test_negatives_for_every_position_of_every_walk(spark, monkeypatch):
     paths = _paths(spark, monkeypatch)
     monkeypatch.setattr(q_walks, "_ppmi", lambda spark, d: spark.createDataFrame([(i, c, 1.0) for i in range(6) for c in range(1 + 3 * i)], "row long, col long, val double"))
