@@ -56,10 +56,14 @@ class Speller:
     logp: np.ndarray
     known: dict[str, float]
     cache: dict[str, str] = field(default_factory=dict)
+    #: The beginnings of the known words, with the best word of each; made when first needed.
+    prefixes: dict[str, float] = field(default_factory=dict)
 
     BEAM, CACHE = 24, 200_000
     # Costs of the channel (log probability of a disguise).
     KEEP, SUBSTITUTE, WILD, REPEAT, SWAP = 0.0, -0.5, -0.5, -0.3, -4.0
+    # ... of a further word, and of a letter by chance. Above LONG letters nothing is one word.
+    WORD, CHANCE, LONG = -2.5, -3.3, 40
 
     @classmethod
     def train(cls, counts: dict[str, int]) -> Speller:
@@ -101,7 +105,7 @@ class Speller:
         return []
 
     def _decode(self, chunk: str) -> str:
-        if len(chunk) > 40 or len(chunk) < 2:
+        if len(chunk) < 2:
             return chunk
         mixed = bool(_LATIN.search(chunk)) or all(c in LOOKALIKES for c in chunk)
         if not mixed and not ("*" in chunk or "$" in chunk or "@" in chunk):
@@ -109,6 +113,9 @@ class Speller:
         # runs of three or more letters may stand for one or two
         units = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", chunk)]
         flat = [(c, n) if n > 2 and c != "*" else (c, 1) for c, n in units for _ in range(1 if n > 2 and c != "*" else n)]
+        if len(flat) > self.LONG:
+            parts = self._split(flat, mixed)
+            return " ".join(parts) if len(parts) > 1 or parts[0] in self.known else chunk
         odd = any(n > 2 or not "a" <= c <= "z" for c, n in flat)
         swaps = len(flat) > 3 and all("a" <= c <= "z" or c in LOOKALIKES for c, _ in flat)
         if not odd and not swaps:
@@ -145,6 +152,47 @@ class Speller:
                 best, out = total, text
         return out
 
+    def _split(self, flat: list[tuple[str, int]], mixed: bool) -> list[str]:
+        """The most likely known words behind a run of (letter, repeats) without blanks; letters that no word explains better
+        than chance stay, those side by side as one word. Linear in the run: a word begun anywhere keeps its BEAM best readings."""
+        if not self.prefixes:
+            for w, v in self.known.items():
+                for k in range(1, len(w) + 1):
+                    self.prefixes[w[:k]] = max(v, self.prefixes.get(w[:k], -np.inf))
+        size = len(flat)
+        score, back = [0.0] + [-np.inf] * size, [(0, "", False)] * (size + 1)
+        for i in range(size):
+            if score[i] + self.CHANCE > score[i + 1]:
+                score[i + 1], back[i + 1] = score[i] + self.CHANCE, (i, flat[i][0], False)
+            front = {"": 0.0}
+            for j in range(i, size):
+                c, n = flat[j]
+                longer: dict[str, float] = {}
+                for text, cost in front.items():
+                    for x, cx in self._options(c, mixed):
+                        for t in (text + x, text + x + x) if n > 2 else (text + x,):
+                            v = cost + cx + (self.REPEAT if n > 2 else 0)
+                            if t in self.prefixes and v > longer.get(t, -np.inf):
+                                longer[t] = v
+                if not longer:
+                    break
+                if len(longer) > self.BEAM:
+                    longer = dict(sorted(longer.items(), key=lambda x: (-x[1] - self.prefixes[x[0]], x[0]))[: self.BEAM])
+                front = longer
+                for text, cost in front.items():
+                    if text in self.known and score[i] + cost + self.known[text] + self.WORD > score[j + 1]:
+                        score[j + 1], back[j + 1] = score[i] + cost + self.known[text] + self.WORD, (i, text, True)
+        out: list[str] = []
+        at, before = size, True
+        while at:
+            at, text, whole = back[at]
+            if whole or before:
+                out.append(text)
+            else:
+                out[-1] = text + out[-1]
+            before = whole
+        return out[::-1]
+
     def words(self, text: str | None) -> list[str]:
         """The restored words of a text; a character of Chinese, Japanese or Korean is a word of its own."""
         if not text:
@@ -163,14 +211,16 @@ class Speller:
                 if chunk[0] == "*" and (chunk[-1] == "*" or chunk[:2] == "**"):
                     chunk = chunk.strip("*")
                 if chunk:
-                    out.append(self.restore(chunk))
+                    out += self.restore(chunk).split(" ")
         return out
 
     def _joined(self, m: re.Match) -> str:
-        """Letters set apart; a first letter that is a word of its own stays one ("a p i g")."""
+        """Letters set apart; a first letter that is a word of its own stays one ("a p i g"), and a run that is no known word is several."""
         word = m[0].replace(m[1], "")
         if m[1] == " " and word[0] in "aiyoe" and word not in self.known and len(word) > 3 and word[1:] in self.known:
             return word[0] + " " + word[1:]
+        if word.isascii() and len(word) <= self.LONG and self.restore(word) not in self.known:
+            return " ".join(self._split([(c, 1) for c in word], True))
         return word
 
 
