@@ -115,7 +115,7 @@ def content_view(spark: SparkSession, d: str) -> DataFrame:
     return e.select("row", "col", F.round("val", 6).alias("val"))
 
 
-# 182: row and column limits of the content view
+# the columns kept under the row and column limits of 182; the ablation itself is missing
 @query()
 def content_ablation(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "metadata_merged_raw").orderBy("Id", "Title")
