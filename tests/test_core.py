@@ -214,6 +214,22 @@ def test_walks(spark):
     assert walks.random_walks(df.limit(0), walks.WalkParams(length=3)).count() == 0
 
 
+@pytest.mark.parametrize("kind", [{"x_no_repeat": 2, "restart": 0.2}, {"x_no_repeat": 0, "avoid_backtrack": False}])
+def test_walks_are_the_same_in_memory_and_distributed(spark, monkeypatch, kind):
+    monkeypatch.setattr(walks, "LIST", 40)
+    r = random.Random(4)
+    rows = sorted({(i, r.randrange(9) if r.random() < 0.6 else 0): round(r.random(), 6) for i in range(150) for _ in range(4)}.items())
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in rows] + [(700, 99, 1.0), (701, 98, 0.5), (702, 98, 0.5), (703, 97, 0.0)], "row long, col long, val double")
+    p = walks.WalkParams(walks=2, length=4, **kind)
+    got = [sorted((w.start, w.walk, *w.path) for w in walks.random_walks(df, p, graph_edges=n).collect()) for n in (10_000, 0)]
+    assert got[0] == got[1] and len(got[0]) > 280
+
+
+def test_numpy_draws_equal_the_column(spark):
+    got = spark.range(50).select("id", rng.uniform_long(5, "id", F.lit(3)).alias("u")).collect()
+    assert [x.u for x in got] == rng.uniform_long_np(5, np.array([x.id for x in got]), 3).tolist()
+
+
 def test_walk_draws_follow_the_weights(spark, monkeypatch):
     monkeypatch.setattr(walks, "LIST", 4)
     df = spark.createDataFrame([(d, 1000, float(1 + d % 3)) for d in range(20)], "row long, col long, val double")

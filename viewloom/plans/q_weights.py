@@ -247,9 +247,9 @@ def engagement_knn(spark: SparkSession, d: str) -> DataFrame:
 
 
 # 80
-@query(f"WITH {DT}, r AS (SELECT row, tag FROM dt WHERE tag IN (SELECT tag FROM dt GROUP BY tag HAVING count(*) <= 200)) SELECT a.row, count(DISTINCT b.row) AS total FROM r a JOIN r b USING (tag) WHERE a.row <> b.row GROUP BY a.row")
+@query(f"WITH {DT} SELECT row, total FROM (SELECT a.row, count(DISTINCT b.row) - 1 AS total FROM dt a JOIN dt b USING (tag) GROUP BY a.row) WHERE total > 0")
 def tag_total_related(spark: SparkSession, d: str) -> DataFrame:
-    """Other documents that share a tag, of any frequency. The SQL leaves out tags of more than 200 documents and agrees only where there are none."""
+    """Other documents that share a tag, of any frequency."""
     return tagstats.related_counts(materialise(doc_tags(spark, d), "tags"))
 
 
