@@ -132,6 +132,22 @@ def test_valid_rows_are_typed(spark, same):
     assert loaded.rejected().where("record_id = 10").first().bad_column == "TotalCompressedBytes"
 
 
+def test_null_and_repeated_record_ids(spark, same):
+    good, bad = "1,,02/29/2024 23:59:59,,", "0,,02/29/2024 23:59:59,,"
+    rows = [(None, bad), (None, good), (5, good), (5, bad), (6, good), (6, good), (7, bad), (7, bad)]
+    loaded = load_records(spark.createDataFrame([(i, D, t, "x") for i, t in rows], "record_id long, file_name string, raw_text string, pos string"))
+    same(loaded.valid(D).select("record_id", "Id"), [(None, 1), (5, 1), (6, 1), (6, 1)])
+    same(loaded.rejected().select("record_id", "reason", "bad_column", "bad_detail", "raw_text"), [(i, "invalid_value", "Id", "below 1", bad) for i in (None, 5, 7, 7)])
+    assert loaded.records.count() == 8
+
+
+def test_a_value_that_is_most_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr("viewloom.operators.rejects.heavy_limit", lambda total: 50)
+    rows = [(D, f"{'x' if i % 2 else i + 1},,02/29/2024 23:59:59,,")  for i in range(300)]
+    got = load_records(frame(spark, rows)).records.where("bad_detail = 'not a number'").count()
+    assert got == 150
+
+
 def test_no_records(spark):
     loaded = load_records(frame(spark, []))
     assert loaded.rejected().count() == 0 and loaded.valid(V).count() == 0

@@ -16,16 +16,17 @@ def heavy_limit(total: int, rows: int = HEAVY_ROWS, share: float = HEAVY_SHARE)
     return max(rows, int(total * share))
 
 
-def split_join(facts: DataFrame, dim: DataFrame, key: str, limit: int, count: str = "n") -> DataFrame:
+def split_join(facts: DataFrame, dim: DataFrame, key: str | list[str], limit: int, count: str = "n") -> DataFrame:
     """Inner join of ``facts`` with ``dim`` (one row per ``key``), split by weight of the key.
 
     ``dim`` has the number of fact rows per key in ``count``. Keys with ``limit`` rows or more are joined by
     broadcast (their number is bounded by total / limit), so no task gets a heavy key; the others
     are shuffled. NULL keys match nothing.
     """
+    keys = [key] if isinstance(key, str) else key
     heavy = F.broadcast(dim.where(F.col(count) >= limit))
-    hot = facts.join(heavy, key)
-    cold = facts.join(F.broadcast(dim.where(F.col(count) >= limit).select(key)), key, "left_anti").join(
-        dim.where(F.col(count) < limit), key
+    hot = facts.join(heavy, keys)
+    cold = facts.join(F.broadcast(dim.where(F.col(count) >= limit).select(*keys)), keys, "left_anti").join(
+        dim.where(F.col(count) < limit), keys
     )
     return hot.unionByName(cold)
