@@ -52,7 +52,8 @@ def p3_associations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    words = terms.distinctive_terms(table(spark, d, "metadata_merged_raw"), "Id", "Description", 3, 2, 0.02)
+    """What the mixture is sure of, within the stated limits of frequency; of the tags the one it is most sure of."""
+    words = terms.distinctive_terms(table(spark, d, "metadata_merged_raw"), "Id", "Description", 3, 2, 0.02).where(F.col("score") >= terms.SURE)
     tags = terms.distinctive_tag(table(spark, d, "relevance_tag_docs"), table(spark, d, "relevance_tag_idf"))
     return words.select(F.lit("description").alias("kind"), F.col("id").alias("record_id"), "term").unionByName(
         tags.select(F.lit("tag").alias("kind"), F.col("id").alias("record_id"), "term")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewloom.llm.set_pairs import normal_tag
@@ -22,6 +22,8 @@ TERM = re.compile(r"[a-z0-9_]{2,}")
 #: Partial counts a task keeps before it passes them on.
 FLUSH = 300_000
 STEPS = 40
+#: A term is surely elite in a record from this posterior probability on.
+SURE = 0.99
 
 _COUNTS = "id long, term string, tf int, n long"
 
@@ -84,16 +86,17 @@ def term_counts(df: DataFrame, record: str, text: str, keep_tf: int = 1) -> Data
     return once.unionByName(more.select("id", "term", "tf", "n"))
 
 
-def fit_two_poisson(total: np.ndarray, df: np.ndarray, tf: np.ndarray, n: np.ndarray, start: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, ...]:
+def fit_two_poisson(total: np.ndarray, df: np.ndarray, tf: np.ndarray, n: np.ndarray, start: np.ndarray, steps: int = STEPS, known: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(share, elite, base) of each term by expectation-maximisation on its frequency histogram.
 
-    The histogram of term j is tf[start[j]:start[j + 1]] with counts n, and total - df records at 0.
+    The histogram of term j is tf[start[j]:start[j + 1]] with counts n, and total - df records at 0. ``known``: base rates that are
+    given and not fitted; then an elite record holds the term once at least.
     """
     owner = np.repeat(np.arange(len(df)), np.diff(np.append(start, len(tf))))
     zero = np.maximum(total - df, 0).astype(float)
     mass = np.bincount(owner, tf * n, len(df))
     elite = np.maximum(mass / df, 1.0) + 0.5
-    base = np.maximum(mass / total * 0.1, 1e-9)
+    base = np.maximum(mass / total * 0.1, 1e-9) if known is None else known
     share = np.clip(df / total * 0.5, 1e-9, 0.5)
     for _ in range(steps):
         up = np.log(share)[owner] + tf * np.log(elite)[owner] - elite[owner]
@@ -104,10 +107,18 @@ def fit_two_poisson(total: np.ndarray, df: np.ndarray, tf: np.ndarray, n: np.nda
         rt = np.bincount(owner, post * n * tf, len(df))
         share = np.clip(r / total, 1e-12, 1 - 1e-12)
         elite = np.maximum(rt / np.maximum(r, 1e-12), 1e-9)
-        base = np.minimum(np.maximum((mass - rt) / np.maximum(total - r, 1e-12), 1e-9), elite)
+        if known is None:
+            base = np.minimum(np.maximum((mass - rt) / np.maximum(total - r, 1e-12), 1e-9), elite)
+        else:
+            elite = np.maximum(elite, 1.0)
     return share, elite, base
 
 
+def log_odds(tf: Column, share: Column, elite: Column, base: Column) -> Column:
+    """Of the elite component against the base one, for a term that occurs ``tf`` times."""
+    return F.log(share) - F.log1p(-share) + tf * (F.log(elite) - F.log(base)) - elite + base
+
+
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
@@ -126,7 +137,7 @@ def distinctive_terms(df: DataFrame, record: str, text: str, keep_tf: int = 1, m
     and in at most ``max_share`` of the ``total`` records that have a term.
 
     score is the posterior probability of the elite component, given tf. All counts and fits cover all records. One
-    pass over the texts; low counts leave a task pre-aggregated as (term, tf, n). Empty input gives an empty result.
+    pass over the texts and one fit per term; low counts leave a task pre-aggregated as (term, tf, n). Empty input gives an empty result.
     """
     counts = materialise(term_counts(df, record, text, keep_tf), "terms")
     total = counts.where("term = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -135,9 +146,10 @@ def distinctive_terms(df: DataFrame, record: str, text: str, keep_tf: int = 1, m
     limits = F.lit(max_share).cast("decimal(10,6)") * F.lit(total)
     hist = hist.where((F.col("df") >= min_df) & (F.col("df") <= limits)).withColumn("total", F.lit(total).cast("long"))
     fits = hist.select("term", "df", "total", "hist").mapInArrow(_fit, "term string, df long, total long, share double, elite double, base double")
+    fits = materialise(fits, "fits")
     rows = counts.where("term <> '' and id is not null").select("id", "term", "tf")
     joined = split_join(rows, fits, "term", heavy_limit(total), "df")
-    odds = F.log("share") - F.log1p(-F.col("share")) + F.col("tf") * (F.log("elite") - F.log("base")) - F.col("elite") + F.col("base")
+    odds = log_odds(F.col("tf"), F.col("share"), F.col("elite"), F.col("base"))
     return joined.select("id", "term", "tf", "df", "total", (1 / (1 + F.exp(-odds))).alias("score"))
 
 
@@ -148,14 +160,35 @@ def tag_weights(idf: DataFrame) -> DataFrame:
     return clean.groupBy("tag").agg(F.max(F.struct("df", "idf")).alias("best")).select("tag", F.col("best.idf").alias("idf"))
 
 
-def distinctive_tag(docs: DataFrame, idf: DataFrame, min_tags: int = 8) -> DataFrame:
-    """(id, term, weight): the tag with the highest idf (then the first by name) of each doc_idx with ``min_tags`` weighted tags.
+def tag_scores(docs: DataFrame, idf: DataFrame, min_tags: int = 8) -> DataFrame:
+    """(id, term, k, idf, odds, score): the tags with idf of each doc_idx that has ``min_tags`` (``k``) of them or more, by the two-Poisson mixture.
 
-    Tags count once per doc_idx, also over repeated rows; NULL and blank ones and those without idf don't count.
+    A tag stands once or not at all in a record, so its own histogram can't tell two rates apart. The base rate comes from the larger
+    collection the weights were counted over, exp(-idf); share and elite rate are fitted by EM on the histogram of all tags together.
+    score is the posterior probability of the elite component, odds its log odds, which grow with idf. Tags count once per
+    doc_idx, also over repeated rows; NULL and blank ones and those without idf don't count. Empty input gives an empty result.
     """
     tags = docs.where("doc_idx is not null").select(F.col("doc_idx").alias("id"), F.explode("tags").alias("tag"))
-    tags = tags.select("id", normal_tag(F.col("tag")).alias("tag")).where("tag <> ''")
-    weights = broadcast_if_small(tag_weights(idf))
-    best = F.min(F.struct((-F.col("idf")).alias("neg"), "tag"))
-    out = tags.join(weights, "tag").distinct().groupBy("id").agg(F.count("*").alias("k"), best.alias("b"))
-    return out.where(F.col("k") >= min_tags).select("id", F.col("b.tag").alias("term"), (-F.col("b.neg")).alias("weight"))
+    tags = tags.select("id", normal_tag(F.col("tag")).alias("term")).where("term <> ''")
+    weights = materialise(tag_weights(idf).withColumnRenamed("tag", "term"), "idf")
+    sets = tags.join(broadcast_if_small(weights), "term").groupBy("id").agg(F.collect_set(F.struct("term", "idf")).alias("set"))
+    sets = materialise(sets.withColumn("k", F.size("set")), "tags")
+    pairs, records = sets.agg(F.coalesce(F.sum("k"), F.lit(0)), F.count("*")).first()
+    rates = weights.agg(F.count("*"), F.avg(F.exp(-F.col("idf")))).first()
+    if not pairs:
+        share = elite = 0.5
+    else:
+        one = np.array([1.0])
+        fit = fit_two_poisson(one * records * rates[0], one * pairs, one, one * pairs, np.array([0]), known=one * rates[1])
+        share, elite = float(fit[0][0]), float(fit[1][0])
+    out = sets.where(F.col("k") >= min_tags).select("id", "k", F.explode("set").alias("s")).select("id", "k", "s.term", "s.idf")
+    out = out.withColumn("odds", log_odds(F.lit(1), F.lit(share), F.lit(elite), F.exp(-F.col("idf"))))
+    return out.select("id", "term", "k", "idf", "odds", (1 / (1 + F.exp(-F.col("odds")))).alias("score"))
+
+
+def distinctive_tag(docs: DataFrame, idf: DataFrame, min_tags: int = 8) -> DataFrame:
+    """(id, term, weight, score): of the ``tag_scores`` of each doc_idx the tag with the largest odds; odds that are equal to 6 digits by
+    idf, then the first by name."""
+    best = F.min(F.struct((-F.round("odds", 6)).alias("odds"), (-F.col("idf")).alias("neg"), "term", "score"))
+    out = tag_scores(docs, idf, min_tags).groupBy("id").agg(best.alias("b"))
+    return out.select("id", "b.term", (-F.col("b.neg")).alias("weight"), "b.score")
