@@ -1,9 +1,11 @@
 import base64
 import os
 import random
+import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from viewloom.llm import encode as en
 from viewloom.llm import leaks
 
@@ -92,3 +94,24 @@ def test_no_items(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     it = spark.createDataFrame([], "item_id long, text string")
     assert leaks.leaked_spans(df, "doc_id", "text", it).count() == 0
+
+
+def test_passages_of_the_tables_equal_windows(spark):
+    """Every window of 12 words of the items, looked up in every window of the documents."""
+    from sql_compare import FOLDER, have_data
+
+    from viewloom.llm.queries import p9_found
+
+    if not have_data():
+        pytest.skip("no test tables")
+    docs, items = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "eval_items"))
+    rows = [tuple(r) for r in items.select("item_id", "text").collect()], [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert {tuple(r) for r in p9_found(spark, FOLDER).select("doc_id", "item_id").collect()} == brute(*rows, 12)
+
+
+def test_automaton_survives_pickling():
+    import pickle
+
+    a = leaks.build([(1, list("abcabd")), (2, list("xbcab"))], 3)
+    b = pickle.loads(pickle.dumps(a))
+    assert [(e, n, b.items(s)) for e, n, s in b.matches(list("zbcabq"))] == [(3, 3, (1, 2)), (4, 4, (1, 2))]

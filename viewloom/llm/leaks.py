@@ -8,7 +8,9 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,9 @@ TAG = re.compile(r"<[^<>]*>")
 WORD = re.compile(r"[^\W_]+")
 #: Least length of a passage in words.
 LEAST = 12
-#: Words of evaluation items per automaton; more items make more automata, each over the whole corpus.
-SHARD_WORDS = 2_000_000
+#: Words of evaluation items per automaton, and automata per pass over the corpus.
+SHARD_WORDS = 500_000
+SHARDS = 4
 
 
 def level(text: str) -> str:
@@ -38,33 +41,63 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Automaton:
-    """``next``: per state the following states by word id; ``link``, ``length``: the suffix links; ``items``: per state
-    the items that hold its shortest passage of at least ``least`` words, or None."""
+    """A generalised suffix automaton in flat arrays of 4-byte numbers, about 40 bytes a word.
+
+    ``root``: the state after each word from the start; ``word``, ``to``: of every other state its first transition, ``more``: (state, word,
+    to) of the further ones; ``link``, ``length``: suffix links; ``name``: per state the number in ``names`` of the items that hold
+    its shortest passage of at least ``least`` words, or -1.
+    """
 
     vocabulary: dict[str, int]
-    next: list[dict[int, int]]
-    link: array
-    length: array
-    items: list[tuple[int, ...] | None]
+    root: np.ndarray
+    word: np.ndarray
+    to: np.ndarray
+    more: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+    name: np.ndarray
+    names: list[tuple[int, ...]]
     least: int
+    tables: tuple | None = None
+
+    def _tables(self) -> tuple:
+        """The arrays as ``array`` objects, made once in each worker: their single items are read faster than numpy's."""
+        if self.tables is None:
+            rows = (self.root, self.word, self.to, self.link, self.length)
+            more = {(int(s) << 32) | int(w): int(t) for s, w, t in self.more}
+            self.tables = (*[array("i", r.astype("i").tobytes()) for r in rows], more)
+        return self.tables
 
     def matches(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
         """(end, length, state) at each word where the longest match has at least ``least`` words."""
-        nxt, link, length, least, vocab = self.next, self.link, self.length, self.least, self.vocabulary
+        root, first, to, link, length, more = self._tables()
+        vocab, least = self.vocabulary, self.least
         state = size = 0
-        for end, word in enumerate(words):
-            w = vocab.get(word, -1)
+        for end, w in enumerate([vocab.get(x, -1) for x in words]):
             if w < 0:
                 state = size = 0
                 continue
-            while state and w not in nxt[state]:
+            while state:
+                if first[state] == w:
+                    state = to[state]
+                    break
+                nxt = more.get((state << 32) | w)
+                if nxt is not None:
+                    state = nxt
+                    break
                 state = link[state]
                 size = length[state]
-            state = nxt[state].get(w, 0)
-            size = size + 1 if state else 0
+            else:
+                state = root[w]
+                size = 0
+            size += 1
             if size >= least:
                 yield end, size, state
 
+    def items(self, state: int) -> tuple[int, ...]:
+        k = self.name[state]
+        return self.names[k] if k >= 0 else ()
+
 
 def build(items: list[tuple[int, list[str]]], least: int = LEAST) -> Automaton:
     """The automaton of all passages of the items."""
@@ -116,12 +149,22 @@ def build(items: list[tuple[int, list[str]]], least: int = LEAST) -> Automaton:
             owners[state].add(item)
             state = link[state]
     # only the state of a match's shortest passage of ``least`` words counts: it names all items that hold these words
-    named: list[tuple[int, ...] | None] = [None] * len(nxt)
+    name, names = np.full(len(nxt), -1, dtype=np.int32), {}
     for state in sorted(range(1, len(nxt)), key=length.__getitem__):
         if length[state] >= least:
             up = link[state]
-            named[state] = tuple(sorted(owners[state])) if length[up] < least else named[up]
-    return Automaton(vocab, nxt, link, length, named, least)
+            name[state] = names.setdefault(tuple(sorted(owners[state])), len(names)) if length[up] < least else name[up]
+    word, to, more = np.full(len(nxt), -1, dtype=np.int32), np.zeros(len(nxt), dtype=np.int32), []
+    for state, own in enumerate(nxt):
+        if state:
+            for k, (w, t) in enumerate(own.items()):
+                if k:
+                    more.append((state, w, t))
+                else:
+                    word[state], to[state] = w, t
+    root = np.array([nxt[0][w] for w in range(len(vocab))], dtype=np.int32)
+    rest = np.array(more, dtype=np.int32).reshape(-1, 3)
+    return Automaton(vocab, root, word, to, rest, np.array(link, dtype=np.int32), np.array(length, dtype=np.int32), name, list(names), least)
 
 
 def _shards(items: DataFrame, item: str, text: str, shard_words: int) -> Iterator[list[tuple[int, list[str]]]]:
@@ -145,32 +188,33 @@ def leaked_spans(docs: DataFrame, doc: str, text: str, items: DataFrame, item: s
     """(doc, item_id, first_word, last_word, n_words): the longest runs of words that a document shares with an item.
 
     Overlapping runs of a document and item are united; n_words counts the document's words. Words and levelling as in
-    ``words_of``. NULL and empty texts hold nothing. Documents stream past the automaton; nothing of the
-    corpus is gathered. The evaluation items must fit the driver one shard at a time.
+    ``words_of``. NULL and empty texts hold nothing. The automata are built once, on the driver, one shard of items at a time, and
+    broadcast as flat arrays (about 40 bytes a word of the items, so ``SHARDS`` of them are 80 MB at most); a worker keeps them over its tasks. One pass over
+    the corpus serves ``SHARDS`` automata: each text is levelled and cut into words once. Nothing of the corpus is gathered.
     """
     spark, kind = docs.sparkSession, docs.schema[doc].dataType.simpleString()
     out = None
-    for group in _shards(items, item, item_text, shard_words):
-        shared = spark.sparkContext.broadcast(group)
+    groups = _shards(items, item, item_text, shard_words)
+    while autos := [spark.sparkContext.broadcast(build(g, least)) for g in islice(groups, SHARDS)]:
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            auto = build(shared.value, least)
+        def run(batches: Iterator[pa.RecordBatch], autos=autos) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows: list[tuple] = []
                 for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     words = words_of(t)
                     if len(words) < least:
                         continue
-                    spans: dict[int, list[list[int]]] = {}
-                    for end, _, state in auto.matches(words):
-                        # the last ``least`` words of the match: every item that holds them
-                        for i in auto.items[state] or ():
-                            own = spans.setdefault(i, [])
-                            if own and own[-1][1] >= end - least:
-                                own[-1][1] = end
-                            else:
-                                own.append([end - least + 1, end])
-                    rows += [(d, i, a, z, len(words)) for i, own in spans.items() for a, z in own]
+                    for auto in autos:
+                        spans: dict[int, list[list[int]]] = {}
+                        for end, _, state in auto.value.matches(words):
+                            # the last ``least`` words of the match: every item that holds them
+                            for i in auto.value.items(state):
+                                own = spans.setdefault(i, [])
+                                if own and own[-1][1] >= end - least:
+                                    own[-1][1] = end
+                                else:
+                                    own.append([end - least + 1, end])
+                        rows += [(d, i, a, z, len(words)) for i, own in spans.items() for a, z in own]
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     arrays = [pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]]
