@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from viewloom.session import materialise
 
-#: Lengths are grouped by powers of this ratio; short lengths each have their own group.
-LENGTH_RATIO = 1.1
 #: A token is hot from this share of the distinct sets on; at most (mean set size / HOT_SHARE) tokens are.
 HOT_SHARE = 0.005
 
@@ -31,13 +29,13 @@ def tag_sets(df: DataFrame, record: str, tags: str, min_size: int = 1) -> DataFr
     return sets.withColumn("n", F.size("tokens")).where(F.col("n") >= min_size)
 
 
-def _group(n: Column) -> Column:
-    return F.floor(F.log(n) / F.lit(math.log(LENGTH_RATIO))).cast("int")
+def _group(n: Column, ratio: float) -> Column:
+    return F.floor(F.log(n) / F.lit(math.log(ratio))).cast("int")
 
 
-def _upper(g: Column) -> Column:
+def _upper(g: Column, ratio: float) -> Column:
     """At least the largest length of group ``g``."""
-    return F.ceil(F.exp((g + 1) * F.lit(math.log(LENGTH_RATIO)))).cast("int")
+    return F.ceil(F.exp((g + 1) * F.lit(math.log(ratio)))).cast("int")
 
 
 def _segments(h: Column, m: Column) -> Column:
@@ -46,13 +44,14 @@ def _segments(h: Column, m: Column) -> Column:
     return F.transform(cut, lambda s: F.struct(s.i.alias("i"), s.seg.alias("seg"), F.aggregate(s.seg, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(t)).alias("x")))
 
 
-def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
+def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5, two_sided: bool = False) -> DataFrame:
     """(a, b) of ``sets`` (id, side, tokens, n; ids distinct per side, sets distinct per side) with Jaccard >= num / den.
 
-    With one side, each unordered pair once; with two sides, pairs across them.
+    With one side, each unordered pair once; ``two_sided``: pairs across the sides only.
 
-    A pair of sizes s <= l differs in at most H = floor((s + l)(den - num) / (den + num)) tokens. The universe is split,
-    by the length group of the longer set, into m segments. The longer set gives every segment (E) and every segment
+    A pair of sizes s <= l differs in at most H = floor((s + l)(den - num) / (den + num)) tokens. Lengths are grouped by powers of den / num,
+    so a set can only be similar to longer ones of its own group and the next. The universe is split,
+    by the group of the longer set, into m segments. The longer set gives every segment (E) and every segment
     less one token (D). The shorter one gives each segment a budget of 0, 1 (match E exactly) or 2 (also one token
     more or less), H + 1 in all: if every segment differed by its budget or more, the sets would differ by H + 1. Segments that
     are empty or hold only hot tokens get 0 where the others can take their share. A 64-bit sketch
@@ -66,10 +65,11 @@ def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
     hashed = hashed.withColumn("bits", F.aggregate("h", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", one, F.pmod(F.shiftright(t, 7), F.lit(64)).cast("int")))))
 
     spread = lambda total: F.floor(total * F.lit(den - num) / F.lit(den + num)).cast("int")
+    ratio = max(den / num, 1.1)
     parts = lambda u: F.floor(spread(2 * u) / 2).cast("int") + 2
     key = lambda g, i, kind, x: F.xxhash64(g, i, F.lit(kind), x)
 
-    longer = hashed.withColumn("g", _group(F.col("n"))).withColumn("m", parts(_upper(F.col("g"))))
+    longer = hashed.withColumn("g", _group(F.col("n"), ratio)).withColumn("m", parts(_upper(F.col("g"), ratio)))
     longer = longer.withColumn("s", _segments(F.col("h"), F.col("m")))
     g = F.col("g")
     index = longer.select(
@@ -79,8 +79,8 @@ def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
     )
 
     reach = F.floor(F.col("n") * F.lit(den) / F.lit(num)).cast("int")
-    shorter = hashed.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.col("n"), reach), _group))))
-    shorter = shorter.withColumn("m", parts(_upper(g))).withColumn("need", spread(F.col("n") + _upper(g)) + 1)
+    shorter = hashed.withColumn("g", F.explode(F.sequence(_group(F.col("n"), ratio), _group(reach, ratio))))
+    shorter = shorter.withColumn("m", parts(_upper(g, ratio))).withColumn("need", spread(F.col("n") + F.least(_upper(g, ratio), reach)) + 1)
     weight = lambda seg: F.size(F.filter(seg, lambda t: ~t.isin(hot))) if hot else F.size(seg)
     shorter = shorter.withColumn("s", F.transform(_segments(F.col("h"), F.col("m")), lambda s: F.struct((-weight(s.seg)).alias("w"), s.i.alias("i"), s.seg.alias("seg"), s.x.alias("x"))))
     shorter = shorter.withColumn("s", F.array_sort("s"))
@@ -97,7 +97,6 @@ def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5) -> DataFrame:
 
     total = F.col("n_a") + F.col("n_b")
     differ = total - 2 * F.ceil(total * F.lit(num) / F.lit(num + den)).cast("int")
-    two_sided = sets.select("side").distinct().count() > 1
     order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & ((F.col("side_a") < F.col("side_b")) if two_sided else (F.col("a") < F.col("b"))))
     if two_sided:
         order = order & (F.col("side_a") != F.col("side_b"))
@@ -137,7 +136,7 @@ def similar_between(left: DataFrame, right: DataFrame, num: int = 3, den: int =
     classes = [materialise(df.groupBy("tokens").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes") for df, _ in sides]
     members = [df.join(c.select("tokens", "class_id"), "tokens").select("id", "class_id") for (df, _), c in zip(sides, classes, strict=True)]
     both = classes[0].withColumn("side", F.lit(0)).unionByName(classes[1].withColumn("side", F.lit(1)))
-    pairs = similar_pairs(both.select(F.col("class_id").alias("id"), "side", "tokens", "n"), num, den)
+    pairs = similar_pairs(both.select(F.col("class_id").alias("id"), "side", "tokens", "n"), num, den, True)
     a = members[0].select(F.col("id").alias("id_a"), F.col("class_id").alias("a"))
     b = members[1].select(F.col("id").alias("id_b"), F.col("class_id").alias("b"))
     return pairs.join(a, "a").join(b, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "shared", "joint")
