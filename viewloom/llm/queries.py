@@ -118,6 +118,10 @@ _SETS = r"""s AS (SELECT doc_idx, list_sort(list(DISTINCT t)) AS tags FROM (SELE
 P1_FOUND = f"""WITH {_SETS}, e AS (SELECT doc_idx, len(tags) AS n, unnest(tags) AS t FROM s WHERE len(tags) >= 5),
 p AS (SELECT a.doc_idx AS doc_a, b.doc_idx AS doc_b, a.n AS n_a, b.n AS n_b, count(*) AS o FROM e a JOIN e b ON a.t = b.t AND a.doc_idx < b.doc_idx GROUP BY ALL)
 SELECT doc_a, doc_b FROM p WHERE 5 * o >= 3 * (n_a + n_b - o)"""
+P1_CLASSES = f"""WITH {_SETS}, k AS (SELECT tags, min(doc_idx) AS class_id FROM s WHERE len(tags) >= 5 GROUP BY tags), e AS (SELECT class_id, len(tags) AS n, unnest(tags) AS t FROM k),
+p AS (SELECT a.class_id AS a, b.class_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS o FROM e a JOIN e b ON a.t = b.t AND a.class_id <> b.class_id GROUP BY ALL),
+l AS (SELECT a AS class_id, count(*) AS n_links FROM p WHERE 5 * o >= 3 * (n_a + n_b - o) GROUP BY a)
+SELECT doc_idx, k.class_id, coalesce(n_links, 0) AS n_links FROM s JOIN k USING (tags) LEFT JOIN l USING (class_id)"""
 _EDGES = "e AS (SELECT row, col, max(val) AS val FROM s_fused3_symrow WHERE row <> col AND val IS NOT NULL AND val::VARCHAR <> 'nan' GROUP BY row, col)"
 P7_FOUND = f"WITH {_EDGES} SELECT row AS row_id, col AS col_id FROM e QUALIFY row_number() OVER (PARTITION BY row ORDER BY val DESC, col) <= 10"
 _P3 = """WITH e AS (SELECT DISTINCT DatasetId AS d, TagId AS t FROM dataset_tags WHERE DatasetId IS NOT NULL AND TagId IS NOT NULL),
@@ -158,4 +162,4 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_rates": p10_rates,
 }
-ORACLES = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p3_associations": P3_ASSOCIATIONS, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
+ORACLES = {"p1_found": P1_FOUND, "p1_classes": P1_CLASSES, "p3_found": P3_FOUND, "p3_associations": P3_ASSOCIATIONS, "p6_found": P6_FOUND, "p7_found": P7_FOUND}

@@ -11,11 +11,14 @@ from viewloom.session import materialise
 
 #: A token is hot from this share of the distinct sets on; at most (mean set size / HOT_SHARE) tokens are.
 HOT_SHARE = 0.005
+#: Sets a salt of a hot key stands for.
+SALT_SETS = 200_000
 
 
 def normal_tag(tag: Column) -> Column:
     """Lower case, runs of blanks and tabs as one blank, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(tag), "[ \t]+", " "))
+    low = F.lower(tag)
+    return F.trim(F.when(F.contains(low, F.lit("\t")) | F.contains(low, F.lit("  ")), F.regexp_replace(low, "[ \t]+", " ")).otherwise(low))
 
 
 def tag_sets(df: DataFrame, record: str, tags: str, min_size: int = 1) -> DataFrame:
@@ -54,7 +57,7 @@ def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5, two_sided: bool =
     by the group of the longer set, into m segments. The longer set gives every segment (E) and every segment
     less one token (D). The shorter one gives each segment a budget of 0, 1 (match E exactly) or 2 (also one token
     more or less), H + 1 in all: if every segment differed by its budget or more, the sets would differ by H + 1. Segments that
-    are empty or hold only hot tokens get 0 where the others can take their share. A 64-bit sketch
+    are empty or hold only hot tokens get 0 where the others can take their share; such keys are salted from SALT_SETS sets on. A 64-bit sketch
     drops nearly all false candidates inside the join; the rest is verified exactly.
     """
     n_sets = sets.count()
@@ -67,7 +70,15 @@ def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5, two_sided: bool =
     spread = lambda total: F.floor(total * F.lit(den - num) / F.lit(den + num)).cast("int")
     ratio = max(den / num, 1.1)
     parts = lambda u: F.floor(spread(2 * u) / 2).cast("int") + 2
+    salts = -(-n_sets // SALT_SETS)
+    weight = lambda seg: F.size(F.filter(seg, lambda t: ~t.isin(hot))) if hot else F.size(seg)
+    # a key is hot if its tokens all are (or it has none): its sets are spread over the salts and its probes go to all of them
+    plain = lambda seg: weight(seg) == 0
+    less = lambda seg, t: weight(F.filter(seg, lambda x: x != t)) == 0
+    salted = lambda x, salt: F.xxhash64(x, salt) if salts > 1 else x
     key = lambda g, i, kind, x: F.xxhash64(g, i, F.lit(kind), x)
+    own = lambda x, is_hot: salted(x, F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0)) if salts > 1 else x
+    every = lambda x, is_hot: F.transform(F.sequence(F.lit(0), F.when(is_hot, salts - 1).otherwise(0)), lambda n: salted(x, n.cast("long"))) if salts > 1 else F.array(x)
 
     longer = hashed.withColumn("g", _group(F.col("n"), ratio)).withColumn("m", parts(_upper(F.col("g"), ratio)))
     longer = longer.withColumn("s", _segments(F.col("h"), F.col("m")))
@@ -75,13 +86,12 @@ def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5, two_sided: bool =
     index = longer.select(
         F.col("id").alias("b"), F.col("side").alias("side_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"),
         F.explode(F.flatten(F.transform("s", lambda s: F.concat(
-            F.array(key(g, s.i, 0, s.x)), F.transform(s.seg, lambda t: key(g, s.i, 1, s.x.bitwiseXOR(t))))))).alias("k"),
+            F.array(own(key(g, s.i, 0, s.x), plain(s.seg))), F.transform(s.seg, lambda t: own(key(g, s.i, 1, s.x.bitwiseXOR(t)), less(s.seg, t))))))).alias("k"),
     )
 
     reach = F.floor(F.col("n") * F.lit(den) / F.lit(num)).cast("int")
     shorter = hashed.withColumn("g", F.explode(F.sequence(_group(F.col("n"), ratio), _group(reach, ratio))))
     shorter = shorter.withColumn("m", parts(_upper(g, ratio))).withColumn("need", spread(F.col("n") + F.least(_upper(g, ratio), reach)) + 1)
-    weight = lambda seg: F.size(F.filter(seg, lambda t: ~t.isin(hot))) if hot else F.size(seg)
     shorter = shorter.withColumn("s", F.transform(_segments(F.col("h"), F.col("m")), lambda s: F.struct((-weight(s.seg)).alias("w"), s.i.alias("i"), s.seg.alias("seg"), s.x.alias("x"))))
     shorter = shorter.withColumn("s", F.array_sort("s"))
     m, need = F.col("m"), F.col("need")
@@ -91,8 +101,8 @@ def similar_pairs(sets: DataFrame, num: int = 3, den: int = 5, two_sided: bool =
     used = F.slice(F.col("s"), F.lit(1), F.col("m") - F.col("skip"))
     probe = shorter.select(
         F.col("id").alias("a"), F.col("side").alias("side_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"),
-        F.explode(F.flatten(F.transform(used, lambda s, at: F.when(at >= F.col("two"), F.array(key(g, s.i, 0, s.x))).otherwise(F.concat(
-            F.array(key(g, s.i, 0, s.x), key(g, s.i, 1, s.x)), F.transform(s.seg, lambda t: key(g, s.i, 0, s.x.bitwiseXOR(t)))))))).alias("k"),
+        F.explode(F.flatten(F.transform(used, lambda s, at: F.when(at >= F.col("two"), every(key(g, s.i, 0, s.x), plain(s.seg))).otherwise(F.concat(
+            every(key(g, s.i, 0, s.x), plain(s.seg)), every(key(g, s.i, 1, s.x), plain(s.seg)), F.flatten(F.transform(s.seg, lambda t: every(key(g, s.i, 0, s.x.bitwiseXOR(t)), less(s.seg, t))))))))).alias("k"),
     )
 
     total = F.col("n_a") + F.col("n_b")
