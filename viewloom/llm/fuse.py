@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viewloom.llm.topn import clean_edges
-from viewloom.session import broadcast_if_small, materialise
+from viewloom.operators.clean import running_total
+from viewloom.session import broadcast_if_small, discard, materialise
 
 #: Share of steps that follow a score; the rest jump anywhere. Strong damping keeps an item that leads one score only
 #: from absorbing the walk.
@@ -125,21 +126,20 @@ def _walk_large(items: DataFrame, views: list[str], steps: int, damping: float)
         x = x.withColumn(f"b_{v}", F.when(F.col(v).isNotNull(), _cuts_under(f"cuts_{v}", v))).drop(f"cuts_{v}")
 
     def beyond(df: DataFrame, v: str, what: str, upward: bool, out: str) -> DataFrame:
-        """Sum of ``what`` over the items strictly above (or below) in view ``v``."""
-        tot = df.where(F.col(v).isNotNull()).groupBy("row", f"b_{v}").agg(F.sum(what).alias("t"))
+        """Sum of ``what`` over the items strictly above (or below) in view ``v``: equal scores are one level, added up before the shuffle."""
+        levels = df.where(F.col(v).isNotNull()).groupBy("row", f"b_{v}", v).agg(F.sum(what).alias("t"))
+        tot = levels.groupBy("row", f"b_{v}").agg(F.sum("t").alias("t"))
         w = Window.partitionBy("row").orderBy(F.desc(f"b_{v}") if upward else F.asc(f"b_{v}"))
         tot = tot.withColumn("other", F.coalesce(F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("t")
-        inner = Window.partitionBy("row", f"b_{v}").orderBy(F.desc(v) if upward else F.asc(v)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        ties = Window.partitionBy("row", f"b_{v}", v)
-        df = df.join(F.broadcast(tot), ["row", f"b_{v}"], "left")
-        part = F.col("other") + F.sum(what).over(inner) - F.sum(what).over(ties)
-        return df.withColumn(out, F.when(F.col(v).isNotNull(), part).otherwise(F.lit(0.0))).drop("other")
+        inner = Window.partitionBy("row", f"b_{v}").orderBy(F.desc(v) if upward else F.asc(v)).rowsBetween(Window.unboundedPreceding, -1)
+        levels = levels.join(F.broadcast(tot), ["row", f"b_{v}"]).withColumn(out, F.col("other") + F.coalesce(F.sum("t").over(inner), F.lit(0.0)))
+        return df.join(levels.select("row", v, out), ["row", v], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
     x = x.withColumn("one", F.lit(1.0))
     for v in views:
         x = beyond(x, v, "one", True, f"h_{v}")
         x = x.withColumn(f"h_{v}", F.when(F.col(v).isNotNull(), F.round(f"h_{v}")))
-    x = materialise(x.drop("one").withColumn("p", 1 / F.col("n")), "walk")
+    x = x0 = materialise(x.drop("one").withColumn("p", 1 / F.col("n")), "walk")
     for _ in range(steps):
         flow = F.lit(0.0)
         lack = [F.sum(F.when(F.col(v).isNull(), F.col("p")).otherwise(0.0)).alias(f"l_{v}") for v in views]
@@ -153,7 +153,9 @@ def _walk_large(items: DataFrame, views: list[str], steps: int, damping: float)
             flow = flow + F.col(f"l_top_{v}") / F.col("n")
         keep = [c for c in x.columns if c != "p" and c != "w" and c[:2] not in ("l_", "f_")]
         x = x.withColumn("p", (1 - damping) / F.col("n") + damping * F.when(F.col("views") > 0, flow / F.col("views")).otherwise(1 / F.col("n")))
-        x = materialise(x.select(*keep, "p"), "walk")
+        before, x = x0, materialise(x.select(*keep, "p"), "walk")
+        discard(before)
+        x0 = x
     return x.select("row", "col", "p")
 
 
@@ -176,7 +178,13 @@ def fuse_rankings(views: list[DataFrame], requests: DataFrame, group_items: int
     light = items.join(F.broadcast(large), "row", "left_anti")
     light = light.select("row", "col", *names).repartition("row").sortWithinPartitions("row", "col")
     out = light.mapInPandas(_solve(names, steps), "row long, col long, p double")
-    if not large.isEmpty():
-        out = out.unionByName(_walk_large(items.join(F.broadcast(large), "row", "left_semi"), names, steps, DAMPING))
-    order = Window.partitionBy("row").orderBy(F.desc(F.round("p", 12)), F.asc("col"))
-    return out.withColumn("rank", F.row_number().over(order))
+    order = [F.desc(F.round("p", 12)), F.asc("col")]
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(*order)))
+    if large.isEmpty():
+        return out
+    # the rank of a large group: its place in one order over all large groups, less the items of the groups before
+    p = _walk_large(items.join(F.broadcast(large), "row", "left_semi"), names, steps, DAMPING)
+    p = materialise(running_total(p, [F.asc("row"), *order], F.lit(1).cast("long"), "place"), "places")
+    first = p.groupBy("row").agg(F.min("place").alias("first"))
+    p = p.join(F.broadcast(first), "row").select("row", "col", "p", (F.col("place") - F.col("first") + 1).cast("int").alias("rank"))
+    return out.unionByName(p)
