@@ -31,6 +31,18 @@ def test_restored(speller, text, words):
     assert " ".join(speller.words(text)) == words
 
 
+def test_words_of_another_script_stay(speller):
+    """Russian words made only of letters that look like Latin ones."""
+    assert speller.words("пора нет топор сор") == ["пора", "нет", "топор", "сор"]
+    assert abuse.Speller.train({"cop": 9}).words("сор") == ["cop"]
+
+
+def test_long_words_are_counted(spark):
+    word = "donaudampfschifffahrtsgesellschaftskapitän"
+    df = spark.createDataFrame([(i, f"{word} x") for i in range(5)], "doc_id long, text string")
+    assert abuse.word_counts(df, "text")[abuse.fold(word)] == 5
+
+
 def test_nothing_to_restore(speller):
     assert speller.words(None) == speller.words("") == speller.words(" \n") == []
 

@@ -18,6 +18,8 @@ from viewloom.llm.abuse_seeds import ABUSIVE, HARMLESS, LOOKALIKES, SUBSTITUTES
 
 #: Labelled documents used for training at most (chosen by hash of the id).
 TRAIN_DOCS = 12_000
+#: Harmless windows near the border that a round of training takes at least; of more every so-manieth, up to twice as many.
+BORDER_WINDOWS = 20_000
 #: A word is known from this share of the documents on: at most (words per document / KNOWN_SHARE) words are.
 KNOWN_SHARE = 1 / 4000
 KNOWN_LEAST = 3
@@ -42,11 +44,22 @@ _CJK = re.compile("[぀-ヿ㐀-鿿가-힯]")
 _LATIN = re.compile(r"[a-z]")
 
 
+class _Marks(dict):
+    """For ``str.translate``: combining marks go, all else stays; filled as characters are met."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if unicodedata.combining(chr(code)) else code
+        return self[code]
+
+
+_MARKS = _Marks()
+
+
 def fold(text: str) -> str:
     """Lower case without accents."""
     if text.isascii():
         return text.lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+    return unicodedata.normalize("NFKD", text.casefold()).translate(_MARKS)
 
 
 @dataclass
@@ -56,10 +69,13 @@ class Speller:
     logp: np.ndarray
     known: dict[str, float]
     cache: dict[str, str] = field(default_factory=dict)
+    #: The words of a run without blanks.
+    runs: dict[str, str | tuple[str, ...]] = field(default_factory=dict)
     #: The beginnings of the known words, with the best word of each; made when first needed.
     prefixes: dict[str, float] = field(default_factory=dict)
 
-    BEAM, CACHE = 24, 200_000
+    #: RUN: longer runs and chunks are decoded each time they are met, so that the caches stay small.
+    BEAM, CACHE, RUN = 24, 200_000, 200
     # Costs of the channel (log probability of a disguise).
     KEEP, SUBSTITUTE, WILD, REPEAT, SWAP = 0.0, -0.5, -0.5, -0.3, -4.0
     # ... of a further word, and of a letter by chance. Above LONG letters nothing is one word.
@@ -88,9 +104,11 @@ class Speller:
             return chunk
         got = self.cache.get(chunk)
         if got is None:
-            if len(self.cache) >= self.CACHE:
-                self.cache.clear()
-            got = self.cache[chunk] = self._decode(chunk)
+            got = self._decode(chunk)
+            if len(chunk) <= self.RUN:
+                if len(self.cache) >= self.CACHE:
+                    self.cache.clear()
+                self.cache[chunk] = got
         return got
 
     def _options(self, c: str, mixed: bool) -> list[tuple[str, float]]:
@@ -107,7 +125,11 @@ class Speller:
     def _decode(self, chunk: str) -> str:
         if len(chunk) < 2:
             return chunk
-        mixed = bool(_LATIN.search(chunk)) or all(c in LOOKALIKES for c in chunk)
+        # a word of look-alikes only is one of its own script, unless it spells a known word
+        if all(c in LOOKALIKES for c in chunk):
+            plain = "".join(LOOKALIKES[c] for c in chunk)
+            return plain if plain in self.known else chunk
+        mixed = bool(_LATIN.search(chunk))
         if not mixed and not ("*" in chunk or "$" in chunk or "@" in chunk):
             return chunk
         # runs of three or more letters may stand for one or two
@@ -200,9 +222,21 @@ class Speller:
         text = html.unescape(_TAG.sub(" ", text)) if "<" in text or "&" in text else text
         text = fold(_HIDDEN.sub("", text))
         text = _SPACED.sub(self._joined, text)
-        out = []
-        for m in _CHUNK.finditer(text):
-            chunk = m[0]
+        # no chunk crosses a blank, so the words of a run between blanks are always the same
+        runs, out = self.runs, []
+        for run in text.split():
+            got = runs.get(run)
+            if got is None:
+                got = self._run_words(run)
+            if type(got) is str:
+                out.append(got)
+            else:
+                out += got
+        return out
+
+    def _run_words(self, run: str) -> str | tuple[str, ...]:
+        out: list[str] = []
+        for chunk in _CHUNK.findall(run):
             if not chunk.isascii() and _CJK.search(chunk):
                 out += [w for w in re.split("([぀-ヿ㐀-鿿가-힯])", chunk) if w]
             elif chunk.isdigit():
@@ -212,7 +246,12 @@ class Speller:
                     chunk = chunk.strip("*")
                 if chunk:
                     out += self.restore(chunk).split(" ")
-        return out
+        got = out[0] if len(out) == 1 else tuple(out)
+        if len(run) <= self.RUN:
+            if len(self.runs) >= self.CACHE:
+                self.runs.clear()
+            self.runs[run] = got
+        return got
 
     def _joined(self, m: re.Match) -> str:
         """Letters set apart; a first letter that is a word of its own stays one ("a p i g"), and a run that is no known word is several."""
@@ -339,7 +378,7 @@ def train(speller: Speller, docs: list[list[str]], labels: np.ndarray, rounds: i
         near = np.flatnonzero((sums >= best[owner] - 1e-9) & ~doubt[owner])
         _, once = np.unique(owner[near], return_index=True)
         extra = np.flatnonzero(~y[owner] & ~doubt[owner] & (sums > -bias - 3.0))
-        pool = np.union1d(pool, extra[:: max(1, len(extra) // 20_000)])
+        pool = np.union1d(pool, extra[:: max(1, len(extra) // BORDER_WINDOWS)])
         ends = np.union1d(near[once], pool[~doubt[owner[pool]]])
         lo = np.maximum(start[ends], ends - WINDOW + 1)
         width = ends - lo + 1
@@ -375,7 +414,7 @@ def word_counts(docs: DataFrame, text: str) -> dict[str, int]:
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"[\p{L}]+"), 0))).alias("w"))
     n = docs.count()
     least = max(KNOWN_LEAST, int(n * KNOWN_SHARE))
-    rows = words.where(F.length("w").between(1, 30)).groupBy("w").count().where(F.col("count") >= least).toLocalIterator()
+    rows = words.where("w <> ''").groupBy("w").count().where(F.col("count") >= least).toLocalIterator()
     out: dict[str, int] = {}
     for r in rows:
         w = fold(r[0])
@@ -398,10 +437,11 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, tra
             words = [" ".join(shared.value.words(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), b.column(1)], names=["words", "y"])
 
-    sample = docs.join(marks, doc).select(text, "y").mapInArrow(run, "words string, y double").orderBy("words", "y")
+    sample = docs.join(marks, doc).select(text, "y").mapInArrow(run, "words string, y double")
     words, y = [], []
     seen: dict[str, str] = {}
-    for r in sample.toLocalIterator():
+    # sorted here: Spark's sort would decode the texts twice, once for its ranges
+    for r in sorted(((r[0] or "", r[1]) for r in sample.toLocalIterator())):
         words.append([seen.setdefault(w, w) for w in r[0].split(" ")] if r[0] else [])
         y.append(r[1])
     return train(speller, words, np.array(y))
