@@ -177,7 +177,7 @@ def test_nearest_equals_numpy(spark):
     expected = {(i, int(j)) for i in range(70) for j in sorted(range(70), key=lambda j: (-s[i, j], j))[:5]}
     for block in (4096, 16):
         assert {(r.row, r.col) for r in similar.nearest(df, 5, block=block).collect()} == expected
-    near = {(r.row, r.col) for r in similar.nearest_in_cells(df, 5, cells=6, probes=6, part=20).collect()}
+    near = {(r.row, r.col) for r in similar.nearest_in_cells(df, 5, similar.Cells(similar.fit_cells(df, 5, cells=6).centres, 6), part=20).collect()}
     assert len(near & expected) / len(expected) > 0.99
     assert similar.nearest(df.limit(0), 5).count() == 0
 
@@ -190,10 +190,36 @@ def test_anchored_cosine(spark):
     assert similar.anchored_cosine(e, 5, df_cap=1).count() == 0
 
 
+def test_quantiles_equal_numpy(spark):
+    r = random.Random(2)
+    rows = [(r.choice("abc"), r.choice([r.random(), 0.5, 3.0])) for _ in range(200)] + [("a", None), ("b", float("nan")), ("d", None), ("e", 7.0)]
+    got = {x.g: (x.lo, x.mid, x.hi) for x in clean.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"lo": 0.1, "mid": 0.5, "hi": 0.9}).collect()}
+    for g in "abce":
+        v = [x for k, x in rows if k == g and x is not None and x == x]
+        assert np.allclose(got[g], np.quantile(v, [0.1, 0.5, 0.9]))
+    assert got.keys() == set("abce")
+    assert clean.quantiles(spark.range(5), [], "id", {"m": 0.5}).first().m == 2.0
+
+
+def test_few_probes_where_vectors_form_groups(spark):
+    g = np.random.default_rng(1)
+    centres = g.normal(size=(30, 16))
+    v = [(i, (centres[i % 30] + g.normal(size=16) * 0.1).tolist()) for i in range(900)]
+    df = spark.createDataFrame(v, "id long, v array<double>")
+    cells = similar.fit_cells(df, 10)
+    assert len(cells.centres) == 30 and cells.probes <= 7
+    pairs = lambda e: {(x.row, x.col) for x in e.collect()}
+    q = df.where("id % 20 = 0")
+    exact = pairs(similar.nearest(df, 10, q))
+    assert len(exact & pairs(similar.nearest_in_cells(df, 10, cells, q))) >= 0.95 * len(exact)
+    assert similar.nearest_in_cells(df.limit(0), 3).count() == 0
+
+
 def test_same_creator(spark, same):
     o = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, None)], "id long, owner long")
     same(similar.same_creator(o), [(1, 2, 1.0), (2, 1, 1.0)])
-    assert similar.same_creator(o, cap=1).count() == 0
+    same(similar.same_creator(o, o.where("id = 2")), [(2, 1, 1.0)])
+    same(similar.owner_classes(o), [(1, 1, 1), (2, 1, 1)])
 
 
 def test_walks(spark):
@@ -264,11 +290,26 @@ def test_noise(spark):
     assert all(abs(c.get(i, 0) - p) < 0.03 for i, p in n.items())
 
 
+@pytest.mark.parametrize("cell_ids", [4, 4096])
+def test_alias_draws_follow_the_distribution(spark, cell_ids):
+    p = {i: (i % 5 + 1) / 60 for i in range(20)}
+    noise = spark.createDataFrame([*p.items(), (99, 0.0)], "id long, p double")
+    got = {r.id: r.p for r in walks.alias_mass(*walks.alias_tables(noise, cell_ids)).collect()}
+    assert got.keys() == p.keys() and all(math.isclose(got[i], p[i], abs_tol=1e-12) for i in p)
+    pairs = spark.range(8000).selectExpr("id as start", "0 as walk", "0 as at", "0 as j")
+    n = {r.negative: r["count"] / 24_000 for r in walks.alias_negatives(pairs, noise, 3, cell_ids=cell_ids).groupBy("negative").count().collect()}
+    assert n.keys() == p.keys() and all(abs(n[i] - p[i]) < 0.01 for i in p)
+    assert walks.alias_negatives(pairs, noise.limit(0), 3).count() == 0
+
+
 def test_sgns(spark):
-    pairs = spark.createDataFrame([(a, b) for a in range(4) for b in range(4) if a // 2 == b // 2 and a != b] * 300, "center long, context long")
-    v = walks.train_sgns(pairs, spark.createDataFrame([(i, 5) for i in range(4)], "id long, deg long"), dim=8, epochs=2, shards=2, lr=0.1).collect()
+    """Two groups of ids that only occur with their own, trained in two shards."""
+    pairs = spark.createDataFrame([(a, b) for a in range(12) for b in range(12) if a // 6 == b // 6 and a != b] * 20, "center long, context long")
+    v = walks.train_sgns(pairs, spark.createDataFrame([(i, 5) for i in range(12)], "id long, deg long"), dim=8, epochs=6, shard_pairs=700, lr=0.1).collect()
     x = np.array([r.v for r in sorted(v, key=lambda r: r.id)])
     assert np.allclose(np.linalg.norm(x, axis=1), 1)
+    near = x @ x.T
+    assert near[:6, :6].mean() > near[:6, 6:].mean() + 0.2
     loss = walks.sgns_loss(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "id long, v array<double>"), spark.createDataFrame([(0, 1, [1])], "center long, context long, negs array<long>")).first()
     assert math.isclose(loss.loss, math.log1p(math.exp(-2)) + math.log1p(math.exp(2)))
 

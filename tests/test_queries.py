@@ -5,13 +5,9 @@ from viewloom.plans.registry import ORACLES, QUERIES
 
 pytestmark = pytest.mark.skipif(not have_data(), reason="no test tables")
 
-# one or two of each section; the driver compares all of them
-SOME = """main_table clean_text split_tags matched_slugs tags_per_dataset refilled_selection tag_vocabulary doc_tag_tfidf doc_tag_ppmi doc_word_bm25_a doc_word_bm25_b tag_ppmi_topk text_binary_cosine
-embedding_knn sym_max_rownorm sym_sum_topk fusion_adaptive_cons fusion_rrf fusion_selective view_consistency evaluation ndcg_candidate_union ndcg_global_ideal weight_sweep walk_step tag_total_related
-profile_columns content_quality dataset_vectors tag_cooccurrence cumulative_coverage engagement_windows p4_found p4_report p4_valid_versions p4_valid_datasets p5_found p5_report""".split()
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     assert_same(spark, QUERIES[name], ORACLES[name])
 
@@ -27,3 +23,10 @@ def test_cells_find_the_neighbours(spark):
     from sql_compare import FOLDER
 
     assert QUERIES["cell_knn_recall"](spark, FOLDER).first().recall >= 0.9
+
+
+def test_walk_graph_finds_documents_of_like_tags(spark):
+    from sql_compare import FOLDER
+
+    got = {r.method: r.tag_jaccard for r in QUERIES["walk_graph_quality"](spark, FOLDER).collect()}
+    assert got["walk"] > 1.15 * got["random"]

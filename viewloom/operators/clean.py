@@ -41,6 +41,27 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "doc_idx") -> Da
     return running_total(df, order, F.lit(1).cast("long"), name).withColumn(name, F.col(name) - 1)
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """(keys..., one column per entry of ``probs``): exact quantiles with linear interpolation; NULL and NaN values don't count, nor NULL keys.
+
+    Equal values are added up before the shuffle, the distinct ones are placed by a running total over sorted ranges: no task
+    holds a group, however large, and nothing but the two values beside each quantile is kept.
+    """
+    v = F.col(value).cast("double")
+    c = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_x")).agg(F.count("*").alias("_n"))
+    x = running_total(c, [*[F.asc(k) for k in keys], F.asc("_x")], F.col("_n"), "_upto")
+    ends = x.groupBy(*keys).agg(F.min(F.col("_upto") - F.col("_n")).alias("_base"), F.sum("_n").alias("_size"))
+    x = x.join(ends, keys) if keys else x.crossJoin(F.broadcast(ends))
+    upto, since = F.col("_upto") - F.col("_base"), F.col("_upto") - F.col("_base") - F.col("_n")
+    pick = lambda at: F.max(F.when((since <= at) & (at < upto), F.col("_x")))
+    out = []
+    for name, p in probs.items():
+        at = (F.col("_size") - 1) * F.lit(float(p))
+        low, high = pick(F.floor(at)), pick(F.ceil(at))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return x.groupBy(*keys).agg(*out)
+
+
 def counters(df: DataFrame, cols: list[str]) -> DataFrame:
     """Counters not below 0 (NULL is 0), each with its log1p twin."""
     for c in cols:

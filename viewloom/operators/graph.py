@@ -88,9 +88,10 @@ def statistics(edges: DataFrame) -> DataFrame:
     """(stat, low, high, mean, median, std) of row sums, values and edges per row; population deviation."""
     rows = edges.groupBy("row").agg(F.sum("val").alias("row_sum"), F.count("*").cast("double").alias("row_edges"))
     long = rows.unpivot([], ["row_sum", "row_edges"], "stat", "x").unionByName(edges.select(F.lit("value").alias("stat"), F.col("val").alias("x")))
-    return long.groupBy("stat").agg(
-        F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_pop("x").alias("std")
-    )
+    from viewloom.operators.clean import quantiles
+
+    stats = long.groupBy("stat").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    return stats.join(quantiles(long, ["stat"], "x", {"median": 0.5}), "stat").select("stat", "low", "high", "mean", "median", "std")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

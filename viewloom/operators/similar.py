@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from viewloom.operators.clean import running_total
 from viewloom.operators.graph import top_edges
 from viewloom.session import materialise
 
@@ -31,10 +33,10 @@ def anchored_cosine(edges: DataFrame, k: int, anchors: int = 3, postings: int =
     mine = strongest.join(df, "col", "left_semi").join(rows, "row").select("row", F.col("col").alias("term"), weight.alias("w1"))
     theirs = edges.withColumn("rn", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("val"), F.asc("row")))).where(F.col("rn") <= postings)
     theirs = theirs.join(rows, "row").select(F.col("row").alias("other"), F.col("col").alias("term"), weight.alias("w2"))
-    # partitions by row serve the sums and the top list: a row has at most anchors * postings candidates. With a stated number
-    # AQE doesn't merge them, whose work is far larger than their bytes
+    # one exchange of each side by term (a term has at most df_cap rows here), one of the candidates by row. With a stated number
+    # AQE doesn't merge partitions whose work is far larger than their bytes
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = materialise(mine, "anchors").repartition(parts, "row").join(theirs, "term").where("row <> other").repartition(parts, "row")
+    pairs = mine.repartition(parts, "term").join(theirs, "term").where("row <> other").repartition(parts, "row")
     sims = pairs.groupBy("row", "other").agg(F.round(F.sum(F.col("w1") * F.col("w2")), 9).alias("val"))
     return top_edges(sims.select("row", F.col("other").alias("col"), "val"), k).drop("rank")
 
@@ -74,27 +76,52 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, positi
     return top_edges(tasks.select("q", "x").mapInPandas(run, "row long, col long, val double"), k).drop("rank")
 
 
-def cell_centres(vectors: DataFrame, cells: int, sample: int = 20_000, steps: int = 10, seed: int = 7) -> np.ndarray:
-    """Centres of spherical k-means, fitted on at most ``sample`` vectors (chosen by hash)."""
+@dataclass
+class Cells:
+    """``centres``: unit vectors; ``probes``: cells a query searches."""
+
+    centres: np.ndarray
+    probes: int
+
+
+def fit_cells(vectors: DataFrame, k: int, cells: int | None = None, recall: float = 0.95, sample: int = 20_000, steps: int = 10, seed: int = 7) -> Cells:
+    """Centres of spherical k-means on at most ``sample`` vectors (chosen by hash), by default about the root of the number of all vectors.
+
+    ``probes`` is the least number of cells that hold ``recall`` (and half a percent more) of the ``k`` nearest neighbours among the sampled
+    vectors, for up to 500 of them as queries. Neighbours in a sample lie farther apart than among all vectors, so the number is on the safe side.
+    Vectors without structure need most cells: then no partition of the space can spare work.
+    """
     rows = vectors.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).select("v").collect()
+    if not rows:
+        return Cells(np.zeros((1, 1)), 1)
     x = np.array([r[0] for r in rows], dtype=float)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    c = x[:: max(1, len(x) // cells)][:cells].copy()
+    cells = min(len(x), cells or max(4, int(np.ceil(np.sqrt(vectors.count())))))
+    c = x[np.linspace(0, len(x) - 1, cells).astype(int)].copy()
     for _ in range(steps):
         own = (x @ c.T).argmax(axis=1)
-        for j in range(len(c)):
-            if (own == j).any():
-                c[j] = x[own == j].sum(axis=0)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        some = np.bincount(own, minlength=cells) > 0
+        c[some] = sums[some]
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+    own, ask = (x @ c.T).argmax(axis=1), np.arange(len(x))[:500]
+    sim = x[ask] @ x.T
+    sim[ask, ask] = -np.inf
+    near = np.argsort(-sim, axis=1)[:, : min(k, len(x) - 1)]
+    place = np.argsort(np.argsort(-(x[ask] @ c.T), axis=1, kind="stable"), axis=1)
+    found = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    probes = int(found[min(len(found) - 1, int(np.ceil((recall + 0.005) * len(found))))]) + 1 if len(found) else 1
+    return Cells(c, probes)
 
 
-def nearest_in_cells(vectors: DataFrame, k: int, cells: int = 16, probes: int = 12, queries: DataFrame | None = None, part: int = 2048) -> DataFrame:
-    """Approximate ``nearest``: every vector lies in the cell of its nearest centre, a query searches its ``probes`` nearest cells.
+def nearest_in_cells(vectors: DataFrame, k: int, cells: Cells | None = None, queries: DataFrame | None = None, positive_only: bool = False, part: int = 2048) -> DataFrame:
+    """Approximate ``nearest``: every vector lies in the cell of its nearest centre, a query searches its nearest cells.
 
-    Cells are cut into parts of about ``part`` vectors, so a crowded cell is many tasks.
+    Cells are cut into parts of about ``part`` vectors, so a crowded cell is many tasks. ``cells`` defaults to ``fit_cells``.
     """
-    centres = vectors.sparkSession.sparkContext.broadcast(cell_centres(vectors, cells))
+    cells = cells or fit_cells(vectors, k)
+    centres = vectors.sparkSession.sparkContext.broadcast(cells.centres)
     queries = vectors if queries is None else queries
 
     def assign(n: int):
@@ -114,7 +141,7 @@ def nearest_in_cells(vectors: DataFrame, k: int, cells: int = 16, probes: int =
     stored = materialise(typed(vectors).mapInPandas(assign(1), schema), "cells")
     sizes = materialise(stored.groupBy("cell").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")), "sizes")
     stored = stored.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    asked = typed(queries).mapInPandas(assign(probes), schema).join(F.broadcast(sizes), "cell")
+    asked = typed(queries).mapInPandas(assign(cells.probes), schema).join(F.broadcast(sizes), "cell")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def search(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
@@ -131,26 +158,41 @@ def nearest_in_cells(vectors: DataFrame, k: int, cells: int = 16, probes: int =
             sim[qi[:, None] == xi[None, :]] = -np.inf
             best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
             row, val = np.repeat(qi, best.shape[1]), np.take_along_axis(sim, best, 1).ravel()
-            out.append(pd.DataFrame({"row": row, "col": xi[best.ravel()], "val": val})[val > -np.inf])
+            out.append(pd.DataFrame({"row": row, "col": xi[best.ravel()], "val": val})[val > least])
         return pd.concat(out)
 
+    least = 0 if positive_only else -np.inf
     found = asked.groupBy("cell", "part").cogroup(stored.groupBy("cell", "part")).applyInPandas(search, "row long, col long, val double")
     return top_edges(found, k).drop("rank")
 
 
-def same_creator(owners: DataFrame, cap: int | None = None) -> DataFrame:
-    """(row, col, val 1.0): records (id, owner) of one owner, all pairs; with ``cap``, owners of more records take no part. NULL owners have none."""
+def same_creator(owners: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(row, col, val 1.0): records (id, owner) of one owner, all pairs, or those whose row is in ``queries`` (id). NULL owners have none.
+
+    A large owner's pairs grow with the square of its records: prefer ``owner_classes``, or state the queries.
+    """
+    o = owners.where(F.col("owner").isNotNull()).select("id", "owner").distinct()
+    rows = o if queries is None else o.join(queries.select("id").distinct(), "id", "left_semi")
+    return rows.select(F.col("id").alias("row"), "owner").join(o.select(F.col("id").alias("col"), "owner"), "owner").where("row <> col").select("row", "col", F.lit(1.0).alias("val"))
+
+
+def owner_classes(owners: DataFrame) -> DataFrame:
+    """(id, class_id, n_links): the records of owners with two or more of them; the class is the owner's least record, the links are the
+    owner's other records. NULL owners have none."""
     o = owners.where(F.col("owner").isNotNull()).select("id", "owner").distinct()
-    n = o.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1")
-    o = o.join((n if cap is None else n.where(F.col("n") <= cap)).select("owner"), "owner", "left_semi")
-    return o.select(F.col("id").alias("row"), "owner").join(o.select(F.col("id").alias("col"), "owner"), "owner").where("row <> col").select("row", "col", F.lit(1.0).alias("val"))
+    n = o.groupBy("owner").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("n_links")).where("n_links > 0")
+    return o.join(n, "owner").select("id", "class_id", "n_links")
 
 
 def owner_members(owners: DataFrame) -> DataFrame:
-    """(id, owner, n, rank): the records of owners with ``n`` > 1 of them, numbered from 1 in order of id. NULL owners have none."""
+    """(id, owner, n, rank): the records of owners with ``n`` > 1 of them, numbered from 1 in order of id. NULL owners have none.
+
+    Numbered over sorted ranges of all records, so a large owner isn't sorted in one task.
+    """
     o = owners.where(F.col("owner").isNotNull()).select("id", "owner").distinct()
-    n = o.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1")
-    return o.join(n, "owner").withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy("id")))
+    o = materialise(running_total(o, [F.asc("owner"), F.asc("id")], F.lit(1).cast("long"), "place"), "places")
+    n = o.groupBy("owner").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    return o.join(n, "owner").select("id", "owner", "n", (F.col("place") - F.col("first") + 1).cast("int").alias("rank"))
 
 
 def same_creator_among(owners: DataFrame, edges: DataFrame, k: int) -> DataFrame:

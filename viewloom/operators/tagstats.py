@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewloom.operators.clean import running_total
+from viewloom.operators.clean import quantiles, running_total
 from viewloom.session import materialise
 
 # Tags by category.
@@ -29,11 +29,12 @@ def frequency(tags: DataFrame) -> DataFrame:
 
 def frequency_statistics(counts: DataFrame) -> DataFrame:
     """One row: tags, least, largest, median, mean, singletons, tags of up to 5, quartiles and their distance (linear interpolation)."""
-    q = F.percentile("n", F.array(F.lit(0.25), F.lit(0.75)))
-    return counts.agg(
-        F.count("*").alias("tags"), F.min("n").alias("low"), F.max("n").alias("high"), F.median("n").alias("median"), F.avg("n").alias("mean"),
-        F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("n") <= 5).alias("up_to_5"), q[0].alias("q1"), q[1].alias("q3"), (q[1] - q[0]).alias("iqr"),
+    plain = counts.agg(
+        F.count("*").alias("tags"), F.min("n").alias("low"), F.max("n").alias("high"), F.avg("n").alias("mean"),
+        F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("n") <= 5).alias("up_to_5"),
     )
+    q = quantiles(counts, [], "n", {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    return plain.crossJoin(F.broadcast(q)).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def per_document(lists: DataFrame) -> DataFrame:
@@ -41,11 +42,13 @@ def per_document(lists: DataFrame) -> DataFrame:
     return lists.groupBy(F.size("tags").alias("n_tags")).agg(F.count("*").alias("n_docs"))
 
 
-def cooccurrence(lists: DataFrame) -> DataFrame:
+def cooccurrence(lists: DataFrame, only: list[str] | None = None) -> DataFrame:
     """(t1, t2, n): pairs of positions in each document's sorted tags; a repeated tag pairs with itself.
 
-    The pairs are made inside a row from its own list; lists are short by nature (a document's tags).
+    The pairs are made inside a row from its own list; lists are short by nature (a document's tags). ``only``: no other tags take part.
     """
+    if only is not None:
+        lists = lists.select(F.filter("tags", lambda t: t.isin(only)).alias("tags"))
     s = lists.select(F.array_sort("tags").alias("tags"))
     a = s.select("tags", F.posexplode("tags").alias("at", "t1"))
     return a.select("t1", F.explode(F.slice("tags", F.col("at") + 2, F.size("tags"))).alias("t2")).groupBy("t1", "t2").agg(F.count("*").alias("n"))

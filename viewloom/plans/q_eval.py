@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from viewloom.operators import evaluate as ev
 from viewloom.operators import fusion as fu
+from viewloom.operators.clean import quantiles
 from viewloom.operators.graph import top_edges
 from viewloom.plans.views import DT, IDF, OG, OW, TWO, A, B, doc_tags, organisations, owners, scaled, tag_idf, two_views
 from viewloom.session import materialise
@@ -224,7 +225,7 @@ tops AS (SELECT 'selective' AS method, row, col, val, row_number() OVER (PARTITI
 def quality_filtered_fusion(spark: SparkSession, d: str) -> DataFrame:
     v = {n: materialise(e, "view") for n, e in two_views(spark, d).items()}
     q = v["b"].groupBy("row").agg(F.sum(F.col("val") * F.col("val")).alias("q"))
-    lim = q.agg(F.percentile("q", 0.5).alias("l"))
+    lim = quantiles(q, [], "q", {"l": 0.5})
     good = q.crossJoin(F.broadcast(lim)).where(F.round("q", 9) >= F.round("l", 9)).select("row")
     e = fu.selective(v["a"], v["b"], 0.6, good, K).withColumn("val", F.round("val", 9))
     m = ev.query_metrics(ev.owner_gains(ev.top_lists({"selective": e}, K), owners(spark, d)), ["method", "row"], "total", k=K)
@@ -313,8 +314,7 @@ def merged_metric_table(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {TWO}, qu AS (SELECT row, sum(val * val) AS q FROM b GROUP BY row) SELECT round(quantile_cont(q, 0.1), 8) AS p10, round(quantile_cont(q, 0.25), 8) AS p25, round(quantile_cont(q, 0.5), 8) AS p50, round(quantile_cont(q, 0.75), 8) AS p75 FROM qu")
 def quality_thresholds(spark: SparkSession, d: str) -> DataFrame:
     q = scaled(spark, d, B).groupBy("row").agg(F.sum(F.col("val") * F.col("val")).alias("q"))
-    p = q.agg(F.percentile("q", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75)])).alias("p"))
-    return p.select(*[F.round(F.col("p")[i], 8).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75"))])
+    return _round(quantiles(q, [], "q", {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75}), 8)
 
 
 __all__ = ["A", "ORACLES", "QUERIES"]

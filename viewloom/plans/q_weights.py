@@ -9,7 +9,8 @@ from viewloom.functions.text import tokens
 from viewloom.functions.vector import norm
 from viewloom.operators import graph as g
 from viewloom.operators import similar, tagstats, weights
-from viewloom.plans.views import DT, IDF, OW, TF, TX, creator_graph, doc_tags, doc_texts, tag_idf, vectors, words
+from viewloom.operators.clean import quantiles
+from viewloom.plans.views import DT, IDF, OW, TF, TX, doc_tags, doc_texts, owners, tag_idf, vectors, words
 from viewloom.session import materialise
 from viewloom.sources.tables import table
 
@@ -179,14 +180,16 @@ def embedding_knn_of_queries(spark: SparkSession, d: str) -> DataFrame:
     return similar.nearest(v, 10, v.where("id % 20 = 0"), positive_only=True).withColumn("val", F.round("val", 6))
 
 
-# 56: recall of the cells against the exact search, over the stated queries
+# 56: recall of the cells against the exact search, over the stated queries, and the share of the cells a query searches
 @query()
 def cell_knn_recall(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     q = v.where("id % 20 = 0")
-    exact, near = similar.nearest(v, 10, q), similar.nearest_in_cells(v, 10, queries=q)
+    cells = similar.fit_cells(v, 10)
+    exact, near = similar.nearest(v, 10, q), similar.nearest_in_cells(v, 10, cells, queries=q)
     hit = exact.join(near.select("row", "col").withColumn("hit", F.lit(1)), ["row", "col"], "left")
-    return hit.agg(F.count("*").alias("n_exact"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"))
+    share = F.lit(round(cells.probes / len(cells.centres), 4)).alias("probed")
+    return hit.agg(F.count("*").alias("n_exact"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 4).alias("recall"), share)
 
 
 # 88
@@ -204,10 +207,16 @@ def dimension_statistics(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).select(F.posexplode("v").alias("pos", "e")).groupBy("pos").agg(F.round(F.avg("e"), 8).alias("mean"), F.round(F.stddev_pop("e"), 8).alias("std"))
 
 
-# 51
-@query(f"WITH {OW} SELECT a.doc AS row, b.doc AS col, 1.0 AS val FROM ow a JOIN ow b USING (owner) WHERE a.doc <> b.doc")
+# 51: the records of one owner are one class; pairs only of the stated queries
+@query(f"WITH {OW}, n AS (SELECT owner, min(doc) AS class_id, count(*) - 1 AS n_links FROM ow GROUP BY owner HAVING count(*) > 1) SELECT doc AS id, class_id, n_links FROM ow JOIN n USING (owner)")
 def creator_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return creator_graph(spark, d)
+    return similar.owner_classes(owners(spark, d).select(F.col("doc").alias("id"), "owner"))
+
+
+@query(f"WITH {OW} SELECT a.doc AS row, b.doc AS col, 1.0 AS val FROM ow a JOIN ow b USING (owner) WHERE a.doc <> b.doc AND a.doc % 20 = 0")
+def creator_pairs_of_queries(spark: SparkSession, d: str) -> DataFrame:
+    o = owners(spark, d).select(F.col("doc").alias("id"), "owner")
+    return similar.same_creator(o, o.where("id % 20 = 0"))
 
 
 # 52
@@ -273,13 +282,13 @@ def tag_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return tagstats.cooccurrence(_lists(spark, d))
 
 
-# 82
-@query()
+# 82: the most frequent tags among themselves, both directions; other tags leave before pairs are made
+@query(f"""WITH {_L}, top AS (SELECT tag FROM c ORDER BY n DESC, tag LIMIT 30), e AS (SELECT row_number() OVER () AS id, tags FROM l), x AS (SELECT * FROM (SELECT id, unnest(list_sort(tags)) AS t, generate_subscripts(tags, 1) AS i FROM e) WHERE t IN (SELECT tag FROM top)),
+p AS (SELECT a.t AS t1, b.t AS t2, count(*) AS n FROM x a JOIN x b ON a.id = b.id AND a.i < b.i GROUP BY ALL) SELECT t1, t2, n FROM p UNION ALL SELECT t2, t1, n FROM p WHERE t1 <> t2""")
 def cooccurrence_matrix(spark: SparkSession, d: str) -> DataFrame:
     top = [r[0] for r in _counts(spark, d).orderBy(F.desc("n"), "tag").limit(30).collect()]
-    c = tagstats.cooccurrence(_lists(spark, d)).where(F.col("t1").isin(top) & F.col("t2").isin(top))
-    both = c.unionByName(c.where("t1 <> t2").select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "n"))
-    return both.groupBy("t1").pivot("t2", top).agg(F.sum("n"))
+    c = tagstats.cooccurrence(_lists(spark, d), top)
+    return c.unionByName(c.where("t1 <> t2").select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "n"))
 
 
 # 83
@@ -315,8 +324,11 @@ SELECT num_tags, count(*) AS n, round(avg(TotalViews), 6) AS mean_views, median(
 def engagement_by_tags(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "dataset_tags").where("DatasetId is not null").groupBy(F.col("DatasetId").alias("Id")).agg(F.count_distinct("TagId").alias("num_tags"))
     s = table(spark, d, "datasets").select("Id", "TotalViews", "TotalDownloads").distinct().join(t, "Id")
-    a = [x for c, n in (("TotalViews", "views"), ("TotalDownloads", "downloads")) for x in (F.round(F.avg(c), 6).alias(f"mean_{n}"), F.median(c).alias(f"median_{n}"))]
-    return s.groupBy("num_tags").agg(F.count("*").alias("n"), *a)
+    s = materialise(s, "engagement")
+    out = s.groupBy("num_tags").agg(F.count("*").alias("n"), F.round(F.avg("TotalViews"), 6).alias("mean_views"), F.round(F.avg("TotalDownloads"), 6).alias("mean_downloads"))
+    for c, n in (("TotalViews", "median_views"), ("TotalDownloads", "median_downloads")):
+        out = out.join(quantiles(s, ["num_tags"], c, {n: 0.5}), "num_tags", "left")
+    return out
 
 
 # 110

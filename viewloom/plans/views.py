@@ -82,14 +82,8 @@ def two_views(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 TWO = scaled_sql("a", A) + ", " + scaled_sql("b", B) + ", v AS (SELECT 'a' AS view, row, col, val FROM a UNION ALL SELECT 'b', row, col, val FROM b)"
 
 
-def creator_graph(spark: SparkSession, d: str) -> DataFrame:
-    from viewloom.operators.similar import same_creator
-
-    return same_creator(owners(spark, d).select(F.col("doc").alias("id"), "owner"))
-
-
 def creator_view(spark: SparkSession, d: str, views: dict[str, DataFrame], k: int) -> DataFrame:
-    """``creator_graph`` at L1 rows, as far as the ``k`` best of its sum with ``views`` can need it."""
+    """The graph of the records of one creator at L1 rows, as far as the ``k`` best of its sum with ``views`` can need it."""
     from functools import reduce
 
     from viewloom.operators.similar import same_creator_among
