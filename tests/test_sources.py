@@ -15,15 +15,17 @@ ROOT = Path(__file__).resolve().parents[1]
 def test_csv(spark, tmp_path, same):
     p = tmp_path / "a.csv"
     p.write_text('id,t\n1,"x ""y"", z\nw"\n2,\n3,b,extra\n')
-    df = files.read_csv(spark, str(p), need=["t", "nope"])
+    df = files.read_csv(spark, str(p), need=["t", "nope"], multi_line=True)
     assert df.columns == ["t"] and 'x "y", z\nw' in [r.t for r in df.collect()]
-    same(files.read_csv(spark, str(p), "id int, t string", bad_rows="drop").select("id"), [(1,), (2,)])
+    same(files.read_csv(spark, str(p), "id int, t string", bad_rows="drop", multi_line=True).select("id"), [(1,), (2,)])
 
 
 def test_read_table(spark, tmp_path):
     (tmp_path / "l.csv").write_bytes("id,t\n1,caf\xe9\n".encode("latin-1"))
     (tmp_path / "u.tsv").write_text("id\tt\n1\tcafé\n2\tx\n")
     assert files.read_table(spark, str(tmp_path / "l.csv")).first().t == "café"
+    (tmp_path / "late.csv").write_bytes(b"id\n" + b"1\n" * 150_000 + "caf\xe9\n".encode("latin-1"))
+    assert files.read_table(spark, str(tmp_path / "late.csv")).where("id = 'café'").count() == 1
     assert files.read_table(spark, str(tmp_path / "u.tsv"), rows=1).collect()[0].t == "café"
     spark.range(3).write.parquet(str(tmp_path / "p.parquet"))
     assert files.read_table(spark, str(tmp_path / "p.parquet"), 2).count() == 2

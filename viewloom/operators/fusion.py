@@ -11,6 +11,8 @@ from viewloom.operators.graph import TINY, row_normalise, top_edges
 
 #: Weights below this take no part.
 LEAST_WEIGHT = 1e-9
+#: Fused values are rounded to so many digits before they are ranked, so equal ones are ties whatever the order of their sums.
+DIGITS = 9
 
 
 def views_table(views: dict[str, DataFrame]) -> DataFrame:
@@ -42,7 +44,7 @@ def consistency_alpha(alpha: DataFrame, scores: DataFrame, view: str, beta: floa
 def fuse(views: DataFrame, alpha: DataFrame, k: int, norm: str | None = "l1") -> DataFrame:
     """Per row the weighted sum of the views, its ``k`` best edges, rows at L1 (or L2) length 1; rows of about 0 go."""
     a = alpha.where(F.col("alpha") >= LEAST_WEIGHT).select("view", "row", "alpha")
-    e = views.join(a, ["view", "row"]).groupBy("row", "col").agg(F.sum(F.col("alpha") * F.col("val")).alias("val"))
+    e = views.join(a, ["view", "row"]).groupBy("row", "col").agg(F.round(F.sum(F.col("alpha") * F.col("val")), DIGITS).alias("val"))
     e = top_edges(e, k).drop("rank")
     if norm is None:
         return e
@@ -54,7 +56,7 @@ def fuse(views: DataFrame, alpha: DataFrame, k: int, norm: str | None = "l1") ->
 def fuse_fixed(views: dict[str, DataFrame], weights: dict[str, float], k: int, norm: str | None = "l1") -> DataFrame:
     v = views_table({n: df for n, df in views.items() if weights.get(n, 0) >= LEAST_WEIGHT})
     w = F.create_map(*[x for n, a in weights.items() for x in (F.lit(n), F.lit(float(a)))])
-    e = v.groupBy("row", "col").agg(F.sum(w[F.col("view")] * F.col("val")).alias("val"))
+    e = v.groupBy("row", "col").agg(F.round(F.sum(w[F.col("view")] * F.col("val")), DIGITS).alias("val"))
     e = top_edges(e, k).drop("rank")
     return e if norm is None else row_normalise(e, norm)
 
@@ -68,7 +70,7 @@ def reciprocal_ranks(views: dict[str, DataFrame], k: int, c: int = 60) -> DataFr
     """Sum of 1 / (c + rank) over the views, the ``k`` best, L1 rows."""
     v = views_table(views)
     rank = F.row_number().over(Window.partitionBy("view", "row").orderBy(F.desc("val"), F.asc("col")))
-    e = v.withColumn("val", 1 / (c + rank)).groupBy("row", "col").agg(F.sum("val").alias("val"))
+    e = v.withColumn("val", 1 / (c + rank)).groupBy("row", "col").agg(F.round(F.sum("val"), DIGITS).alias("val"))
     return row_normalise(top_edges(e, k).drop("rank"))
 
 
@@ -81,7 +83,7 @@ def selective(meta: DataFrame, content: DataFrame, weight: float, content_rows:
     """Rows of ``content_rows`` fused with the given weight of ``meta``, all others from ``meta`` alone; top ``k``, not normalised."""
     rows = content_rows.select("row").distinct()
     fused = fuse_fixed({"meta": meta.join(rows, "row", "left_semi"), "content": content.join(rows, "row", "left_semi")}, {"meta": weight, "content": 1 - weight}, k, None)
-    return fused.unionByName(top_edges(meta.select("row", "col", "val").join(rows, "row", "left_anti"), k).drop("rank"))
+    return fused.unionByName(top_edges(meta.select("row", "col", F.round("val", DIGITS).alias("val")).join(rows, "row", "left_anti"), k).drop("rank"))
 
 
 def consistency(meta: DataFrame, content: DataFrame) -> DataFrame:

@@ -96,6 +96,15 @@ def keep_columns(profiles: DataFrame, max_cols: int = 60) -> DataFrame:
     return p.select("col_name", (unique * rows).alias("score")).orderBy(F.desc("score"), "col_name").limit(max_cols)
 
 
+def keep_columns_by(profiles: DataFrame, keys: list[str], max_cols: Column) -> DataFrame:
+    """The profiles of the columns that ``keep_columns`` keeps, of each table (keys)."""
+    rows = 1 - F.col("missing_pct") / 100
+    unique = F.col("unique_pct") / 100 * rows
+    p = profiles.where((F.col("n_unique") > 1) & ~(F.col("col_name").rlike("(?i)" + ID_NAME.pattern) & (unique > ID_SHARE)))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(unique * rows), "col_name"))
+    return p.withColumn("_rank", rank).where(F.col("_rank") <= max_cols).drop("_rank")
+
+
 def sample_table(df: DataFrame, max_rows: int = 1024, max_cols: int = 60) -> DataFrame:
     """The first ``max_rows`` rows and the columns worth keeping; the column list is decided by one small aggregate."""
     head = df.limit(max_rows)
@@ -103,10 +112,11 @@ def sample_table(df: DataFrame, max_rows: int = 1024, max_cols: int = 60) -> Dat
     return head.select(*[c for c in df.columns if c in keep])
 
 
-def describe(profiles: DataFrame, tops: DataFrame) -> DataFrame:
-    """(col_name, description): one English sentence per column, by its type."""
-    t = tops.where("rank <= 3").groupBy("col_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat("value", F.lit(" ("), "n", F.lit(")")).alias("s")))), lambda x: x["s"]), ", ").alias("top"))
-    p = profiles.join(t, "col_name", "left")
+def describe(profiles: DataFrame, tops: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys..., col_name, description): one English sentence per column, by its type."""
+    keys = [*(keys or []), "col_name"]
+    t = tops.where("rank <= 3").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.concat("value", F.lit(" ("), "n", F.lit(")")).alias("s")))), lambda x: x["s"]), ", ").alias("top"))
+    p = profiles.join(t, keys, "left")
     f = lambda c, d: F.format_string(f"%.{d}f", F.round(c, d))
     missing = F.concat(f("missing_pct", 1), F.lit("% missing."))
     # The sentences below
@@ -117,7 +127,7 @@ def describe(profiles: DataFrame, tops: DataFrame) -> DataFrame:
         .when(F.col("dtype") == "text", F.concat(F.lit("free text, avg length "), f("avg_len", 0), F.lit(' chars. Sample: "'), F.substring("sample_text", 1, 100), F.lit('". '), missing))
         .otherwise(F.concat(F.lit("categorical with "), "n_unique", F.lit(" unique values ("), f("unique_pct", 1), F.lit("% unique). Top values: "), F.coalesce("top", F.lit("")), F.lit(". "), missing))
     )
-    return p.select("col_name", F.concat(head, text).alias("description"))
+    return p.select(*keys, F.concat(head, text).alias("description"))
 
 
 def quality(profiles: DataFrame, key: str) -> DataFrame:

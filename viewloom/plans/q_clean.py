@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from viewloom.functions import text
 from viewloom.operators import clean, integrity
 from viewloom.plans.views import OW, doc_tags, owners
+from viewloom.session import scratch
 from viewloom.sources import files
 from viewloom.sources.tables import table
 
@@ -26,12 +27,43 @@ def query(sql: str | None = None):
     return add
 
 
-# 1, 2: typed columns of a raw file, only those that exist
-@query("SELECT Id, VersionNumber, Slug FROM dataset_versions WHERE Id IS NOT NULL")
+_RAW = ["DatasetId", "Slug", "TotalCompressedBytes", "VersionNumber", "Id"]
+
+
+def _raw_csv(spark: SparkSession, d: str) -> str:
+    """dataset_versions as raw CSV files with a header, and after every row whose Id is divisible by 10 a line with too many fields."""
+    v = table(spark, d, "dataset_versions").where("Id is not null").select(*_RAW)
+    good = files.quoted_line(v, ["Slug"])
+    bad = v.where("Id % 10 = 0").select(F.concat_ws(",", F.lit("1"), F.lit("x"), F.lit("2"), F.lit("3"), F.col("Id"), F.lit("too"), F.lit("many")).alias("line"))
+    path = scratch(spark, "csv")
+    # every file has the header
+    n = 4
+    head = spark.createDataFrame([(i, 0, ",".join(_RAW)) for i in range(n)], "part int, at int, line string")
+    rows = good.unionByName(bad).select(F.pmod(F.xxhash64("line"), F.lit(n)).cast("int").alias("part"), F.lit(1).alias("at"), "line")
+    rows.unionByName(head).repartition(n, "part").sortWithinPartitions("part", "at", "line").select("part", "line").write.partitionBy("part").text(path)
+    return path
+
+
+# 1, 2: of a raw CSV the columns that exist, by its header; only these are parsed
+@query("SELECT Id::VARCHAR AS Id, VersionNumber::VARCHAR AS VersionNumber FROM dataset_versions WHERE Id IS NOT NULL UNION ALL SELECT Id::VARCHAR, '3' FROM dataset_versions WHERE Id % 10 = 0")
 def column_pruned_read(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "dataset_versions")
-    need = [c for c in ("Id", "VersionNumber", "Slug", "NoSuchColumn") if c in t.columns]
-    return t.where("Id is not null").select(*need)
+    return files.read_csv(spark, f"{_raw_csv(spark, d)}/part=*", need=["Id", "VersionNumber", "NoSuchColumn"])
+
+
+# 3: typed, lines with a wrong number of fields left out
+@query("SELECT Id, DatasetId, VersionNumber, nullif(Slug, '') AS Slug FROM dataset_versions WHERE Id IS NOT NULL")
+def malformed_lines_dropped(spark: SparkSession, d: str) -> DataFrame:
+    t = files.read_csv(spark, f"{_raw_csv(spark, d)}/part=*", "DatasetId bigint, Slug string, TotalCompressedBytes bigint, VersionNumber bigint, Id bigint", bad_rows="drop")
+    return t.select("Id", "DatasetId", "VersionNumber", F.nullif("Slug", F.lit("")).alias("Slug"))
+
+
+# 4: a table by its suffix, in Latin-1; every byte of the file decides the encoding
+@query("SELECT Id, Title FROM (SELECT Id, 'caf' || chr(233) || ' ' || Id AS Title FROM dataset_versions WHERE Id IS NOT NULL)")
+def latin1_table(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "latin1") + ".csv"
+    t = table(spark, d, "dataset_versions").where("Id is not null").select("Id", F.concat(F.lit("caf\u00e9 "), "Id").alias("Title"))
+    t.write.csv(path, header=True, encoding="ISO-8859-1")
+    return files.read_table(spark, path).select(F.col("Id").cast("bigint").alias("Id"), "Title")
 
 
 # 5

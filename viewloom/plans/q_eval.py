@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from viewloom.functions.rng import uniform, uniform_sql
 from viewloom.operators import evaluate as ev
 from viewloom.operators import fusion as fu
 from viewloom.operators.clean import quantiles
-from viewloom.operators.graph import top_edges
-from viewloom.plans.views import DT, IDF, OG, OW, TWO, A, B, doc_tags, organisations, owners, scaled, tag_idf, two_views
+from viewloom.operators.graph import symmetrise, top_edges
+from viewloom.operators.similar import nearest
+from viewloom.plans.views import DT, IDF, OG, OW, TWO, A, B, creator_view, doc_tags, graph, graph_sql, organisations, owners, scaled, tag_idf, two_views, vectors
 from viewloom.session import materialise
 from viewloom.sources.tables import table
 
@@ -163,8 +165,6 @@ def _sweep(spark: SparkSession, d: str) -> DataFrame:
     e = fu.views_table(v).crossJoin(F.broadcast(w))
     e = e.groupBy("weight", "row", "col").agg(F.round(F.sum(F.when(F.col("view") == "a", F.col("weight")).otherwise(1 - F.col("weight")) * F.col("val")), 9).alias("val"))
     e = e.withColumn("method", F.format_string("w%.1f", F.col("weight")))
-    from pyspark.sql import Window
-
     top = e.withColumn("rank", F.row_number().over(Window.partitionBy("method", "row").orderBy(F.desc("val"), "col"))).where(F.col("rank") <= K)
     m = ev.query_metrics(ev.owner_gains(materialise(top.select("method", "row", "col", "val", "rank"), "sweep"), owners(spark, d)), ["method", "row"], "total", k=K)
     return m.groupBy("method").agg(F.count("*").alias("n"), F.avg("ndcg").alias("ndcg"))
@@ -185,37 +185,68 @@ def best_weight(spark: SparkSession, d: str) -> DataFrame:
     return s.agg(F.max(F.struct("ndcg", "method")).alias("b")).select(F.col("b.method").alias("method"), F.col("b.ndcg").alias("ndcg"))
 
 
-# 180: five weight sets
-@query()
-def four_view_grid(spark: SparkSession, d: str) -> DataFrame:
-    from viewloom.plans.views import creator_view
+# 180: five weight sets over four views
+_GRID = [(1, 0, 0, 0), (0.5, 0.5, 0, 0), (0.4, 0.3, 0.1, 0.2), (0.25, 0.25, 0.25, 0.25), (0.2, 0.5, 0.1, 0.2)]
+_GRID_SQL = f"""{TWO}, {graph_sql('av0', B)}, av1 AS (SELECT row, col, sum(val) / 2 AS val FROM (SELECT row, col, val FROM av0 UNION ALL SELECT col, row, val FROM av0) GROUP BY row, col),
+{OW}, cr AS (SELECT a.doc AS row, b.doc AS col, 1.0 / (count(*) OVER (PARTITION BY a.doc)) AS val FROM ow a JOIN ow b USING (owner) WHERE a.doc <> b.doc),
+v4 AS (SELECT * FROM v UNION ALL SELECT 'avg', row, col, val / greatest(sum(val) OVER (PARTITION BY row), 1e-12) FROM av1 WHERE val <> 0 AND row <> col UNION ALL SELECT 'creator', row, col, val FROM cr),
+ws AS (SELECT * FROM (VALUES {", ".join(f"('g{i}', '{n}', {float(w)})" for i, ws in enumerate(_GRID) for n, w in zip(("a", "b", "avg", "creator"), ws, strict=True) if w)}) AS t(method, view, w)),
+e AS (SELECT method, row, col, round(sum(w * val), 9) AS val FROM v4 JOIN ws USING (view) GROUP BY ALL), tops AS (SELECT method, row, col, val, row_number() OVER (PARTITION BY method, row ORDER BY val DESC, col) AS rank FROM e QUALIFY rank <= {K})"""
+
 
+@query(f"WITH {_GRID_SQL}, {_TAGG}, {_metrics('tg', 'mt')} SELECT method, count(*) AS n, round(avg(ndcg), 5) AS ndcg FROM mt GROUP BY method")
+def four_view_grid(spark: SparkSession, d: str) -> DataFrame:
     v = {n: materialise(e, "view") for n, e in two_views(spark, d).items()}
+    v["avg"] = materialise(symmetrise(graph(spark, d, B), "avg"), "view")
     v["creator"] = materialise(creator_view(spark, d, v, K), "view")
-    sets = [(f"g{i}", n, w) for i, ws in enumerate([(1, 0, 0), (0.5, 0.5, 0), (0.4, 0.4, 0.2), (0.3, 0.3, 0.4), (0.2, 0.6, 0.2)]) for n, w in zip(v, ws, strict=True) if w > 0]
-    w = spark.createDataFrame([(m, n, float(x)) for m, n, x in sets], "method string, view string, w double")
+    sets = [(f"g{i}", n, float(w)) for i, ws in enumerate(_GRID) for n, w in zip(v, ws, strict=True) if w > 0]
+    w = spark.createDataFrame(sets, "method string, view string, w double")
     e = fu.views_table(v).join(F.broadcast(w), "view").groupBy("method", "row", "col").agg(F.round(F.sum(F.col("w") * F.col("val")), 9).alias("val"))
-    from pyspark.sql import Window
-
     top = e.withColumn("rank", F.row_number().over(Window.partitionBy("method", "row").orderBy(F.desc("val"), "col"))).where(F.col("rank") <= K)
     t, i, _, _ = _sub(spark, d)
     m = ev.query_metrics(ev.tag_gains(materialise(top, "grid"), t, i), ["method", "row"], k=K)
-    return _round(m.groupBy("method").agg(F.count("*").alias("n"), F.avg("ndcg").alias("ndcg")))
+    return _round(m.groupBy("method").agg(F.count("*").alias("n"), F.avg("ndcg").alias("ndcg")), 5)
+
+
+# 178, 155: selective fusion on the content rows and on these among more and more other rows
+@query(f"""WITH {TWO}, {OW}, c AS (SELECT DISTINCT row FROM b), f AS (SELECT row, col, sum(CASE view WHEN 'a' THEN 0.6 ELSE 0.4 END * val) AS val FROM v WHERE row IN (SELECT row FROM c) GROUP BY row, col UNION ALL SELECT row, col, val FROM a WHERE row NOT IN (SELECT row FROM c)),
+x AS (SELECT row, row_number() OVER (ORDER BY {uniform_sql(42, 'row')}, row) AS rn FROM (SELECT DISTINCT row FROM a WHERE row NOT IN (SELECT row FROM c))),
+sz AS (SELECT unnest([0, 100, 500]) AS extra), sub AS (SELECT extra, row FROM sz, c UNION ALL SELECT extra, row FROM sz JOIN x ON rn <= extra),
+tops AS (SELECT 'selective' AS method, row, col, val, row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) AS rank FROM f QUALIFY rank <= {K}), {_own('ow', 'cg')}, {_metrics('cg', 'm')}
+SELECT extra, count(*) AS n, round(avg(ndcg), 5) AS ndcg FROM m JOIN sub USING (row) GROUP BY extra""")
+def dilution_sizes(spark: SparkSession, d: str) -> DataFrame:
+    sizes = [0, 100, 500]
+    v = {n: materialise(e, "view") for n, e in two_views(spark, d).items()}
+    c = materialise(v["b"].select("row").distinct(), "rows")
+    e = materialise(fu.selective(v["a"], v["b"], 0.6, c, K), "selective")
+    u = uniform(42, "row")
+    extra = v["a"].select("row").distinct().join(c, "row", "left_anti").orderBy(u, "row").limit(max(sizes))
+    extra = extra.withColumn("rn", F.row_number().over(Window.orderBy(u, "row")))  # at most the largest size
+    sz = F.broadcast(spark.createDataFrame([(s,) for s in sizes], "extra int"))
+    sub = c.crossJoin(sz).select("extra", "row").unionByName(extra.join(sz, F.col("rn") <= F.col("extra")).select("extra", "row"))
+    m = ev.query_metrics(ev.owner_gains(ev.top_lists({"selective": e}, K), owners(spark, d)), ["method", "row"], "total", k=K)
+    return _round(m.join(sub, "row").groupBy("extra").agg(F.count("*").alias("n"), F.avg("ndcg").alias("ndcg")), 5)
 
 
 # 181: search once at the largest k
-@query()
+_KS = [20, 30, 50, 75, 100]
+
+
+@query(
+    "WITH x AS (SELECT vec_id AS id, list_transform(embedding, lambda e: e::DOUBLE) AS v FROM embeddings), u AS (SELECT id, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) AS v FROM x), "
+    + "nn AS (SELECT a.id AS row, b.id AS col, round(list_dot_product(a.v, b.v), 9) AS val, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.id) AS r FROM u a, u b WHERE a.id <> b.id QUALIFY r <= 100), "
+    + "e AS (SELECT k, row, col, val FROM nn, (VALUES (20), (30), (50), (75), (100)) AS s(k) WHERE r <= k), s1 AS (SELECT k, row, col, CASE WHEN count(*) < 2 THEN greatest(max(val), 0.0) ELSE max(val) END AS val "
+    + "FROM (SELECT k, row, col, val FROM e UNION ALL SELECT k, col, row, val FROM e) GROUP BY k, row, col), "
+    + "s2 AS (SELECT k, row, col, round(val / greatest(sum(val) OVER (PARTITION BY k, row), 1e-12), 9) AS val FROM s1 WHERE val <> 0), "
+    + f"tops AS (SELECT 'k' || k AS method, row, col, val, row_number() OVER (PARTITION BY k, row ORDER BY val DESC, col) AS rank FROM s2 QUALIFY rank <= {K}), ow AS (SELECT vec_id AS doc, label + 1 AS owner FROM embeddings), "
+    + f"{_own('ow', 'cg')}, {_metrics('cg', 'm')} SELECT method, round(avg(ndcg), 5) AS ndcg, round(avg(precision), 5) AS precision FROM m GROUP BY method"
+)
 def k_sweep(spark: SparkSession, d: str) -> DataFrame:
-    from viewloom.operators.graph import symmetrise
-    from viewloom.operators.similar import nearest
-    from viewloom.plans.views import vectors
-
-    ks = [20, 30, 50, 75, 100]
-    e = materialise(nearest(vectors(spark, d), max(ks)), "knn")
+    e = materialise(nearest(vectors(spark, d), max(_KS)), "knn")
     label = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), (F.col("label") + 1).alias("owner"))
-    tops = {f"k{k}": symmetrise(top_edges(e, k).drop("rank")) for k in ks}
+    tops = {f"k{k}": symmetrise(top_edges(e, k).drop("rank")).withColumn("val", F.round("val", 9)) for k in _KS}
     m = ev.query_metrics(ev.owner_gains(materialise(ev.top_lists(tops, K), "tops"), label), ["method", "row"], "total", k=K)
-    return _round(m.groupBy("method").agg(F.avg("ndcg").alias("ndcg"), F.avg("precision").alias("precision")))
+    return _round(m.groupBy("method").agg(F.avg("ndcg").alias("ndcg"), F.avg("precision").alias("precision")), 5)
 
 
 # 178, 179: selective fusion where the content is good enough

@@ -111,22 +111,22 @@ def fuse_two_views(spark: SparkSession, d: str) -> DataFrame:
 
 def _fused_sql(f: str, k: int = 20) -> str:
     """SQL of the k best of f (row, col, val), rows at sum 1."""
-    return f"t AS (SELECT * FROM {f} QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= {k}), z AS (SELECT row, col, val / greatest(sum(val) OVER (PARTITION BY row), 1e-12) AS val FROM t)"
+    return f"t AS (SELECT row, col, round(val, 9) AS val FROM {f} QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= {k}), z AS (SELECT row, col, val / greatest(sum(val) OVER (PARTITION BY row), 1e-12) AS val FROM t)"
 
 
-def _rows_of(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Rounded sums per row and its best neighbour: unlike single edges they don't depend on the order of equal values."""
-    return df.groupBy("row").agg(F.count("*").alias("n"), F.round(F.sum("val"), digits).alias("total"), F.round(F.max("val"), digits).alias("best"))
+# fused values have nine digits, so exact halves occur at the eighth: a trifle makes every engine round these up
+_EDGES = "SELECT row, col, round(val + 1e-12, 7) AS val FROM z"
 
 
-_ROWS = "SELECT row, count(*) AS n, round(sum(val), 6) AS total, round(max(val), 6) AS best FROM z GROUP BY row"
+def _e(df: DataFrame) -> DataFrame:
+    return df.withColumn("val", F.round(F.col("val") + 1e-12, 7))
 
 
 # 127, 130
 @query(f"""WITH {TWO}, r AS (SELECT view, row, sum(val * val) AS rho FROM v GROUP BY view, row), l AS (SELECT view, row, rho / greatest(sum(rho) OVER (PARTITION BY row), 1e-12) AS al FROM r),
-f AS (SELECT row, col, sum(al * val) AS val FROM v JOIN l USING (view, row) WHERE al >= 1e-9 GROUP BY row, col), {_fused_sql('f')} {_ROWS}""")
+f AS (SELECT row, col, sum(al * val) AS val FROM v JOIN l USING (view, row) WHERE al >= 1e-9 GROUP BY row, col), {_fused_sql('f')} {_EDGES}""")
 def fusion_adaptive(spark: SparkSession, d: str) -> DataFrame:
-    return _rows_of(fu.fuse_adaptive(two_views(spark, d), 20))
+    return _e(fu.fuse_adaptive(two_views(spark, d), 20))
 
 
 # 116, 117
@@ -144,57 +144,57 @@ def view_consistency(spark: SparkSession, d: str) -> DataFrame:
 # 128, 131
 @query(f"""WITH {TWO}, {_CONS}, r AS (SELECT view, row, sum(val * val) AS rho FROM v GROUP BY view, row), l AS (SELECT view, row, rho / greatest(sum(rho) OVER (PARTITION BY row), 1e-12) AS al FROM r),
 m AS (SELECT l.view, l.row, CASE WHEN view = 'b' THEN al * (0.5 + 0.5 * (1 - coalesce(wc, 0))) ELSE al END AS al FROM l LEFT JOIN cs ON cs.row = l.row), k AS (SELECT view, row, al / greatest(sum(al) OVER (PARTITION BY row), 1e-12) AS al FROM m),
-f AS (SELECT row, col, sum(al * val) AS val FROM v JOIN k USING (view, row) WHERE al >= 1e-9 GROUP BY row, col), {_fused_sql('f')} {_ROWS}""")
+f AS (SELECT row, col, sum(al * val) AS val FROM v JOIN k USING (view, row) WHERE al >= 1e-9 GROUP BY row, col), {_fused_sql('f')} {_EDGES}""")
 def fusion_adaptive_cons(spark: SparkSession, d: str) -> DataFrame:
     views = {n: materialise(e, "view") for n, e in two_views(spark, d).items()}
     v = fu.views_table(views)
     c = fu.consistency(views["a"], views["b"]).select("row", F.col("weighted_consistency").alias("c"))
-    return _rows_of(fu.fuse(v, fu.consistency_alpha(fu.adaptive_alpha(v), c, "b"), 20))
+    return _e(fu.fuse(v, fu.consistency_alpha(fu.adaptive_alpha(v), c, "b"), 20))
 
 
 # 129, 132, 133
-@query(f"WITH {TWO}, f AS (SELECT row, col, sum(0.5 * val) AS val FROM v GROUP BY row, col), {_fused_sql('f')} {_ROWS}")
+@query(f"WITH {TWO}, f AS (SELECT row, col, sum(0.5 * val) AS val FROM v GROUP BY row, col), {_fused_sql('f')} {_EDGES}")
 def fusion_naive(spark: SparkSession, d: str) -> DataFrame:
-    return _rows_of(fu.fuse_fixed(two_views(spark, d), {"a": 0.5, "b": 0.5}, 20))
+    return _e(fu.fuse_fixed(two_views(spark, d), {"a": 0.5, "b": 0.5}, 20))
 
 
 # 132: only the requested rows
-@query(f"WITH {TWO}, q AS (SELECT DISTINCT row_id AS row FROM rank_requests), f AS (SELECT row, col, sum(CASE view WHEN 'a' THEN 0.7 ELSE 0.3 END * val) AS val FROM v WHERE row IN (SELECT row FROM q) GROUP BY row, col), z AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= 20) {_ROWS}")
+@query(f"WITH {TWO}, q AS (SELECT DISTINCT row_id AS row FROM rank_requests), f AS (SELECT row, col, sum(CASE view WHEN 'a' THEN 0.7 ELSE 0.3 END * val) AS val FROM v WHERE row IN (SELECT row FROM q) GROUP BY row, col), z AS (SELECT row, col, round(val, 9) AS val FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= 20) {_EDGES}")
 def fusion_requested_rows(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "rank_requests").select(F.col("row_id").alias("row")).distinct()
     views = {n: e.join(q, "row", "left_semi") for n, e in two_views(spark, d).items()}
-    return _rows_of(fu.fuse_fixed(views, {"a": 0.7, "b": 0.3}, 20, None))
+    return _e(fu.fuse_fixed(views, {"a": 0.7, "b": 0.3}, 20, None))
 
 
 # 133: four views
 @query(f"""WITH {TWO}, {OW}, cg AS (SELECT a.doc AS row, b.doc AS col, 1.0 AS val FROM ow a JOIN ow b USING (owner) WHERE a.doc <> b.doc),
 w AS (SELECT row, col, 0.3 * val AS val FROM a UNION ALL SELECT row, col, 0.2 * val FROM b UNION ALL SELECT row, col, 0.1 * val / sum(val) OVER (PARTITION BY row) FROM cg),
-f AS (SELECT row, col, sum(val) AS val FROM w GROUP BY row, col), z AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= 20) {_ROWS}""")
+f AS (SELECT row, col, sum(val) AS val FROM w GROUP BY row, col), z AS (SELECT row, col, round(val, 9) AS val FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= 20) {_EDGES}""")
 def fusion_weighted_views(spark: SparkSession, d: str) -> DataFrame:
     views = two_views(spark, d)
     views |= {"creator": creator_view(spark, d, views, 20), "off": scaled(spark, d, B)}
-    return _rows_of(fu.fuse_fixed(views, {"a": 0.3, "b": 0.2, "creator": 0.1, "off": 0.0}, 20, None))
+    return _e(fu.fuse_fixed(views, {"a": 0.3, "b": 0.2, "creator": 0.1, "off": 0.0}, 20, None))
 
 
 # 134
 @query(f"""WITH {TWO}, c AS (SELECT DISTINCT row FROM b), f AS (SELECT row, col, sum(CASE view WHEN 'a' THEN 0.6 ELSE 0.4 END * val) AS val FROM v WHERE row IN (SELECT row FROM c) GROUP BY row, col
-UNION ALL SELECT row, col, val FROM a WHERE row NOT IN (SELECT row FROM c)), z AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= 20) {_ROWS}""")
+UNION ALL SELECT row, col, val FROM a WHERE row NOT IN (SELECT row FROM c)), z AS (SELECT row, col, round(val, 9) AS val FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= 20) {_EDGES}""")
 def fusion_selective(spark: SparkSession, d: str) -> DataFrame:
     v = two_views(spark, d)
-    return _rows_of(fu.selective(v["a"], v["b"], 0.6, v["b"].select("row"), 20))
+    return _e(fu.selective(v["a"], v["b"], 0.6, v["b"].select("row"), 20))
 
 
 # 135
-@query(f"WITH {TWO}, r AS (SELECT row, col, 1.0 / (60 + row_number() OVER (PARTITION BY view, row ORDER BY round(val, 12) DESC, col)) AS x FROM v), f AS (SELECT row, col, sum(x) AS val FROM r GROUP BY row, col), {_fused_sql('f', 50)} {_ROWS}")
+@query(f"WITH {TWO}, r AS (SELECT row, col, 1.0 / (60 + row_number() OVER (PARTITION BY view, row ORDER BY round(val, 12) DESC, col)) AS x FROM v), f AS (SELECT row, col, sum(x) AS val FROM r GROUP BY row, col), {_fused_sql('f', 50)} {_EDGES}")
 def fusion_rrf(spark: SparkSession, d: str) -> DataFrame:
     views = {n: e.withColumn("val", F.round("val", 12)) for n, e in two_views(spark, d).items()}
-    return _rows_of(fu.reciprocal_ranks(views, 50))
+    return _e(fu.reciprocal_ranks(views, 50))
 
 
 # 136
-@query(f"WITH {TWO}, f AS (SELECT row, col, sum(val / 2) AS val FROM v GROUP BY row, col), {_fused_sql('f', 50)} {_ROWS}")
+@query(f"WITH {TWO}, f AS (SELECT row, col, sum(val / 2) AS val FROM v GROUP BY row, col), {_fused_sql('f', 50)} {_EDGES}")
 def fusion_combsum(spark: SparkSession, d: str) -> DataFrame:
-    return _rows_of(fu.comb_sum(two_views(spark, d), 50))
+    return _e(fu.comb_sum(two_views(spark, d), 50))
 
 
 # 137
@@ -221,22 +221,22 @@ rr AS (SELECT base.row, base.col, base.val, base.val + 0.1 * coalesce(support, 0
 LEFT JOIN bo ON bo.row = base.row AND bo.col = base.col LEFT JOIN ow o1 ON o1.doc = base.row LEFT JOIN ow o2 ON o2.doc = base.col)"""
 
 
-@query(f"WITH {_RR}, z AS (SELECT row, col, rr AS val FROM rr) {_ROWS.replace(', 6)', ', 4)')}")
+@query(f"WITH {_RR}, z AS (SELECT row, col, rr AS val FROM rr) {_EDGES}")
 def fusion_rerank(spark: SparkSession, d: str) -> DataFrame:
-    return _rows_of(_reranked(spark, d)[1], 4)
+    return _e(_reranked(spark, d)[1])
 
 
-@query(f"WITH {_RR}, z AS (SELECT row, col, 0.7 * val + 0.3 * rr AS val FROM rr) {_ROWS.replace(', 6)', ', 4)')}")
+@query(f"WITH {_RR}, z AS (SELECT row, col, 0.7 * val + 0.3 * rr AS val FROM rr) {_EDGES}")
 def fusion_blend(spark: SparkSession, d: str) -> DataFrame:
-    return _rows_of(fu.blend(*_reranked(spark, d), 0.3), 4)
+    return _e(fu.blend(*_reranked(spark, d), 0.3))
 
 
 # 138
 @query(f"""WITH {TWO}, r AS (SELECT view, row, 1 / (sum(val * val) + 1e-12) AS w FROM v GROUP BY view, row), l AS (SELECT view, row, w / greatest(sum(w) OVER (PARTITION BY row), 1e-12) AS al FROM r),
-f AS (SELECT row, col, sum(al * val) AS val FROM v JOIN l USING (view, row) WHERE al >= 1e-9 GROUP BY row, col), t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= 20),
-z AS (SELECT row, col, val / greatest(sqrt(sum(val * val) OVER (PARTITION BY row)), 1e-12) AS val FROM t) {_ROWS}""")
+f AS (SELECT row, col, sum(al * val) AS val FROM v JOIN l USING (view, row) WHERE al >= 1e-9 GROUP BY row, col), t AS (SELECT row, col, round(val, 9) AS val FROM f QUALIFY row_number() OVER (PARTITION BY row ORDER BY round(val, 9) DESC, col) <= 20),
+z AS (SELECT row, col, val / greatest(sqrt(sum(val * val) OVER (PARTITION BY row)), 1e-12) AS val FROM t) {_EDGES}""")
 def fusion_inverse_concentration(spark: SparkSession, d: str) -> DataFrame:
-    return _rows_of(fu.fuse_adaptive(two_views(spark, d), 20, "l2", inverse=True))
+    return _e(fu.fuse_adaptive(two_views(spark, d), 20, "l2", inverse=True))
 
 
 # 118

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewloom.operators import content as co
+from viewloom.operators import evaluate as ev
 from viewloom.operators import profile as pr
-from viewloom.plans.views import A, graph
-from viewloom.session import materialise, shared_dir
+from viewloom.operators.fusion import fuse_adaptive
+from viewloom.operators.graph import symmetrise
+from viewloom.plans.views import A, doc_tags, graph, owners, tag_idf
+from viewloom.session import materialise, scratch, shared_dir
 from viewloom.sources import edges as ed
 from viewloom.sources import files
 from viewloom.sources.tables import table
@@ -51,9 +57,9 @@ def profile_columns(spark: SparkSession, d: str) -> DataFrame:
     return p.select(*[F.round(c, num[c]).alias(c) if c in num else F.col(c) for c in cols])
 
 
-@query(f"WITH {_LONG}, c AS (SELECT col_name, value, count(*) AS n FROM l WHERE value IS NOT NULL AND col_name IN ('Medal', 'Subtitle', 'TotalVotes') GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY col_name ORDER BY n DESC, value)::INT AS rank FROM c QUALIFY rank <= 5")
+@query(f"WITH {_LONG}, c AS (SELECT col_name, value, count(*) AS n FROM l WHERE value IS NOT NULL GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY col_name ORDER BY n DESC, value)::INT AS rank FROM c QUALIFY rank <= 5")
 def top_values(spark: SparkSession, d: str) -> DataFrame:
-    return pr.top_values(_long(spark, d).where(F.col("col_name").isin("Medal", "Subtitle", "TotalVotes")))
+    return pr.top_values(_long(spark, d))
 
 
 # 42
@@ -100,35 +106,48 @@ def dataset_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.select("key", (F.col("at") + 1).alias("pos"), F.round("e", 8).alias("e"))
 
 
-# 189, 193: profile, describe, embed, aggregate, neighbours
+_TABLE = ["TotalViews", "TotalVotes", "Medal", "Subtitle", "Title"]
+
+
+def _content_vectors(spark: SparkSession, d: str, budgets: list[tuple[str, int, int]]) -> DataFrame:
+    """(label, id, v): vectors of the tables that one creator's datasets form, under each budget of rows and columns."""
+    m = table(spark, d, "metadata_merged_raw").where("CreatorUserId > 0").select("CreatorUserId", "Id", *_TABLE)
+    b = spark.createDataFrame(budgets, "label string, max_rows int, max_cols int")
+    keys = ["label", "max_cols", "CreatorUserId"]
+    rows = co.table_rows(m, ["CreatorUserId"], [F.asc("Id"), *[F.asc(c) for c in _TABLE]], b).drop("Id")
+    v = co.table_vectors(co.column_profiles(rows, keys, "max_cols"), keys, dim=32)
+    return materialise(v.select("label", F.col("CreatorUserId").alias("id"), "v"), "vectors")
+
+
+# 189, 193: sample, profile, describe, encode, aggregate, neighbours
 @query()
 def content_view(spark: SparkSession, d: str) -> DataFrame:
-    from viewloom.operators.graph import symmetrise
-    from viewloom.operators.similar import nearest
-
-    p = materialise(_per_creator(spark, d), "profiles")
-    words = F.concat_ws(" ", "col_name", "dtype", F.concat(F.lit("unique"), F.round(F.col("unique_pct") / 10).cast("int")), F.concat(F.lit("missing"), F.round(F.col("missing_pct") / 10).cast("int")))
-    texts = p.select("CreatorUserId", "col_name", words.alias("text"))
-    emb = pr.hashed_text_vectors(texts, ["CreatorUserId", "col_name"], "text", 32).join(p.select("CreatorUserId", "col_name", "dtype", "missing_pct", "unique_pct"), ["CreatorUserId", "col_name"])
-    v = materialise(pr.dataset_vectors(emb, "CreatorUserId").select(F.col("CreatorUserId").alias("id"), "v"), "vectors")
-    e = symmetrise(nearest(v, 10, positive_only=True))
-    return e.select("row", "col", F.round("val", 6).alias("val"))
+    v = _content_vectors(spark, d, [("all", 1024, 60)]).select("id", "v")
+    return co.content_graph(v, 10).withColumn("val", F.round("val", 6))
 
 
-# the columns kept under the row and column limits of 182; the ablation itself is missing
+# 182: the content view under each budget of rows and columns, alone and fused with the graph of the creators' documents
 @query()
 def content_ablation(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "metadata_merged_raw").orderBy("Id", "Title")
-    rows = []
-    for r, c in ((64, 60), (256, 60), (1024, 60), (1024, 5)):
-        rows.append((r, c, len(pr.sample_table(m, r, c).columns)))
-    return spark.createDataFrame(rows, "max_rows int, max_cols int, kept int")
+    budgets = [("rows 2", 2, 60), ("rows 16", 16, 60), ("whole", 1024, 60), ("columns 2", 1024, 2)]
+    v = _content_vectors(spark, d, budgets)
+    o = materialise(owners(spark, d), "owners")
+    pairs = graph(spark, d, A).join(o.select(F.col("doc").alias("row"), F.col("owner").alias("a")), "row").join(o.select(F.col("doc").alias("col"), F.col("owner").alias("b")), "col")
+    meta = materialise(symmetrise(pairs.where("a <> b").groupBy(F.col("a").alias("row"), F.col("b").alias("col")).agg(F.sum("val").alias("val"))), "meta")
+    methods = {"meta": meta}
+    for label, _, _ in budgets:
+        g = materialise(co.content_graph(v.where(F.col("label") == label).select("id", "v"), 20, in_cells=False), "content")
+        methods |= {f"content, {label}": g, f"fused, {label}": fuse_adaptive({"meta": meta, "content": g}, 20)}
+    t = doc_tags(spark, d).join(o.withColumnRenamed("doc", "row"), "row").select(F.col("owner").alias("doc"), "tag").distinct()
+    tops = materialise(ev.top_lists({n: e.withColumn("val", F.round("val", 9)) for n, e in methods.items()}, 10), "tops")
+    m = ev.query_metrics(ev.tag_gains(tops, materialise(t, "tags"), tag_idf(spark, d)), ["method", "row"], k=10)
+    return m.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("ndcg"), 5).alias("ndcg"), F.round(F.avg("precision"), 5).alias("precision"))
 
 
 # 8-14, 198: written in parts and read by the manifest
 @query("SELECT count(*) AS n, round(sum(val), 6) AS total FROM (SELECT row, col, max(val) AS val FROM s_fused3_symrow WHERE row IS NOT NULL AND col IS NOT NULL AND row <> col AND val IS NOT NULL AND val::VARCHAR <> 'nan' GROUP BY row, col)")
 def edge_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/edges-{abs(hash(d))}"
+    folder = scratch(spark, "edges")
     ed.save_edges(graph(spark, d, A), folder, "S_a", 50, 1, part_rows=1000)
     e, _ = ed.load_graph(spark, folder, "S_a", 50)
     return e.agg(F.count("*").alias("n"), F.round(F.sum("val"), 6).alias("total"))
@@ -137,7 +156,7 @@ def edge_round_trip(spark: SparkSession, d: str) -> DataFrame:
 # 3, 19: written as CSV and read back, rows that don't fit left out
 @query("SELECT count(*) AS n, sum(Id)::BIGINT AS ids FROM datasets WHERE Id IS NOT NULL")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/csv-{abs(hash(d))}"
+    path = scratch(spark, "csv")
     table(spark, d, "datasets").where("Id is not null").select("Id", "TotalViews").write.mode("overwrite").csv(path, header=True)
     t = files.read_csv(spark, path, "Id bigint, TotalViews bigint", bad_rows="drop")
     return t.agg(F.count("*").alias("n"), F.sum("Id").alias("ids"))
@@ -146,7 +165,8 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 # 20: the second call reads what the first one wrote
 @query("SELECT count(*) AS n FROM tags")
 def resumed_stage(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/stage-{abs(hash(d))}"
+    # the same path for the same data folder, so that a later driver finds the stage
+    path = f"{shared_dir(spark)}/stage-{hashlib.md5(d.encode()).hexdigest()}"
     files.stage_table(spark, path, lambda: table(spark, d, "tags"))
     return files.stage_table(spark, path, lambda: table(spark, d, "tags").limit(0)).agg(F.count("*").alias("n"))
 

@@ -62,6 +62,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder once and read it back.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 from pathlib import PurePosixPath
 
 import pandas as pd
@@ -16,31 +15,33 @@ TABLE_SUFFIXES = (".csv", ".tsv", ".parquet", ".xlsx", ".xls")
 NOT_MAIN = ("^sample_submission", "_submission", "_dictionary", "_codebook", "^README", "^LICENSE")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, need: list[str] | None = None, bad_rows: str = "keep", sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """CSV with header, quotes doubled inside quotes, line breaks inside quotes.
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, need: list[str] | None = None, bad_rows: str = "keep", sep: str = ",", encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+    """CSV with header, quotes doubled inside quotes. ``multi_line``: also line breaks inside quotes; then a file is one task, however large,
+    without it files are split.
 
     Without ``schema`` all columns are read as text (no inference pass). ``need``: of these the columns that exist. ``bad_rows``: ``keep``
-    (missing fields are NULL), ``drop`` or ``fail``.
+    (missing fields are NULL), ``drop`` or ``fail``: for these two all columns are parsed, as only then every line's fields are counted.
     """
     mode = {"keep": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}[bad_rows]
-    r = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=sep, encoding=encoding, mode=mode)
+    r = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', sep=sep, encoding=encoding, mode=mode, columnPruning=bad_rows == "keep")
     df = (r.schema(schema) if schema is not None else r).csv(path)
     return df.select(*[c for c in need if c in df.columns]) if need is not None else df
 
 
-def read_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame | None:
+def read_table(spark: SparkSession, path: str, rows: int | None = None, multi_line: bool = True) -> DataFrame | None:
     """A table by its suffix; None for an unknown suffix or a file that can't be read.
 
-    CSV and TSV are tried as UTF-8; when bytes don't fit (U+FFFD appears in the first rows) as Latin-1. Excel files need pandas and an engine for them.
+    CSV and TSV are read as UTF-8, or as Latin-1 where a byte of the whole file (or of the first ``rows`` rows, if only these are wanted)
+    doesn't fit: the lines are looked through first, in parallel. ``multi_line`` as in ``read_csv``. Excel files need pandas and an engine for them.
     """
     suffix = PurePosixPath(path).suffix.lower()
     try:
         if suffix in (".csv", ".tsv"):
             sep = "\t" if suffix == ".tsv" else ","
-            df = read_csv(spark, path, bad_rows="drop", sep=sep)
-            broken = reduce(lambda a, b: a | b, [F.col(f"`{c}`").contains("�") for c in df.columns], F.lit(False))
-            if any("�" in c for c in df.columns) or not df.limit(rows or 100_000).where(broken).isEmpty():
-                df = read_csv(spark, path, bad_rows="drop", sep=sep, encoding="ISO-8859-1")
+            lines = spark.read.text(path)
+            lines = lines.limit(rows + 1) if rows is not None else lines
+            fits = lines.where(~F.is_valid_utf8("value")).isEmpty()
+            df = read_csv(spark, path, bad_rows="drop", sep=sep, encoding="UTF-8" if fits else "ISO-8859-1", multi_line=multi_line)
         elif suffix == ".parquet":
             df = spark.read.parquet(path)
         elif suffix in (".xlsx", ".xls"):
