@@ -84,3 +84,14 @@ def test_negatives_for_every_position_of_every_walk(spark, monkeypatch):
     got = {(r.start, r.walk, r.at, r.slot): r.negative for r in QUERIES["negative_draws"](spark, "").collect()}
     assert set(got) == {(s, n, i, k) for (s, n), p in paths.items() for i in range(len(p)) for k in range(5)}
     assert set(got.values()) == set(range(6))
+
+
+def test_nearest_in_boxes_equals_nearest(spark):
+    r = random.Random(6)
+    rows = [(i, [0.0] * 3 if i % 97 == 0 else [r.choice([r.gauss(0, 1), float(r.randrange(-2, 3))]) for _ in range(3)]) for i in range(900)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    rounded = lambda df: sorted((x.row, x.col, x.val) for x in df.collect())
+    for k, leaf in ((5, 40), (12, 8), (3, 5_000)):
+        assert rounded(similar.nearest_in_boxes(v, k, leaf)) == rounded(similar.nearest(v, k))
+    assert similar.nearest_in_boxes(v.limit(0), 5).count() == 0
+    assert rounded(similar.nearest_in_boxes(v.limit(4), 5)) == rounded(similar.nearest(v.limit(4), 5))

@@ -76,6 +76,106 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, positi
     return top_edges(tasks.select("q", "x").mapInPandas(run, "row long, col long, val double"), k).drop("rank")
 
 
+def nearest_in_boxes(vectors: DataFrame, k: int, leaf: int = 1024, sample: int = 50_000) -> DataFrame:
+    """(row, col, val): the same rows as ``nearest`` of all vectors, for vectors of few dimensions; exact.
+
+    Equal vectors are one point with its ``k`` + 1 least ids. The points are cut into boxes of about ``leaf`` by median splits (found on a sample,
+    which decides the balance only); the k-th best point of its own box bounds what a point needs, and it is compared with the boxes that can hold such a
+    value. Ties (to 9 digits) by id.
+    """
+    spark = vectors.sparkSession
+    v = vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    first = v.withColumn("_n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("_n") <= k + 1)
+    points = materialise(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "points")
+    splits = _median_splits(_units(points.orderBy(F.xxhash64("v")).limit(sample).toPandas()["v"]), max(0, int(np.ceil(np.log2(max(1, points.count()) / leaf)))))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                u = _units(pdf["v"])
+                yield pd.DataFrame({"key": pdf["ids"].str[0], "leaf": _leaves(u, splits), "v": pdf["v"], "u": list(u), "ids": pdf["ids"]})
+
+    placed = materialise(points.mapInPandas(place, "key long, leaf int, v array<double>, u array<double>, ids array<long>"), "placed")
+    size = len(placed.select("u").first()[0]) if placed.limit(1).count() else 0
+    ends = [f(F.col("u")[i]).alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max)) for i in range(size)]
+    boxes = placed.groupBy("leaf").agg(F.count("*").alias("n"), *ends).orderBy("leaf").toPandas()
+    low, high = (boxes[[f"{n}{i}" for i in range(size)]].to_numpy() for n in ("low", "high"))
+
+    def visits(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, out = np.stack(pdf["u"]), []
+        for s in range(0, len(u), 256):
+            a = u[s : s + 256]
+            sim = a @ u.T
+            # the point itself is among the k + 1; rounding to 9 digits moves a value by half a digit at most
+            least = np.partition(sim, -(k + 1), axis=1)[:, -(k + 1)] - 2e-9 if len(u) > k else np.full(len(a), -np.inf)
+            most = np.minimum(a, 0) @ low.T + np.maximum(a, 0) @ high.T
+            if pdf["leaf"].iloc[0] >= 0:
+                far = np.zeros((len(a), len(low)))
+                for i in range(size):
+                    far += np.maximum(np.maximum(low[:, i] - a[:, i, None], a[:, i, None] - high[:, i]), 0) ** 2
+                most = np.minimum(most, np.where(boxes["leaf"].to_numpy() >= 0, 1 - far / 2, most) + 1e-12)
+            at, box = np.nonzero(most >= least[:, None])
+            out.append(pd.DataFrame({"at": at + s, "box": boxes["leaf"].to_numpy()[box], "least": least[at]}))
+        x = pd.concat(out)
+        return pd.DataFrame({"key": pdf["key"].to_numpy()[x["at"]], "leaf": x["box"], "least": x["least"], "u": pdf["u"].to_numpy()[x["at"]]})
+
+    asked = materialise(placed.groupBy("leaf").applyInPandas(visits, "key long, leaf int, least double, u array<double>"), "visits")
+
+    def search(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        a, b = np.stack(q["u"]) if len(q) else np.zeros((0, size)), np.stack(x["u"])
+        many = x["ids"].str.len().to_numpy()
+        start, flat, out = np.cumsum(many) - many, np.concatenate(x["ids"].to_list()), []
+        for s in range(0, len(a), 256):
+            sim = a[s : s + 256] @ b.T
+            at, p = np.nonzero(sim >= q["least"].to_numpy()[s : s + 256, None])
+            val = np.round(sim[at, p], 9) + 0.0
+            n = many[p]
+            ids = flat[np.repeat(start[p] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            at, val = np.repeat(at, n), np.repeat(val, n)
+            order = np.lexsort((ids, -val, at))
+            at, val, ids = at[order], val[order], ids[order]
+            keep = np.arange(len(at)) - np.searchsorted(at, at) <= k
+            out.append(pd.DataFrame({"key": q["key"].to_numpy()[s : s + 256][at[keep]], "col": ids[keep], "val": val[keep]}))
+        return pd.concat(out) if out else pd.DataFrame({"key": [], "col": [], "val": []})
+
+    found = asked.groupBy("leaf").cogroup(placed.select("leaf", "u", "ids").groupBy("leaf")).applyInPandas(search, "key long, col long, val double")
+    best = found.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("val"), "col"))).where(F.col("_n") <= k + 1)
+    best = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("val")).alias("neg"), "col"))).alias("l"))
+    best = placed.select("key", "v").join(best, "key").select("v", "l")
+    others = F.slice(F.filter("l", lambda e: e["col"] != F.col("id")), 1, k)
+    return v.join(best, "v").select(F.col("id").alias("row"), F.explode(others).alias("e")).select("row", F.col("e.col").alias("col"), (F.lit(0.0) - F.col("e.neg")).alias("val"))
+
+
+def _units(v: pd.Series) -> np.ndarray:
+    x = np.array([np.asarray(r, dtype=float) for r in v])
+    size = np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.ones((0, 1))
+    return x / np.where(size > 0, size, 1)
+
+
+def _median_splits(x: np.ndarray, depth: int) -> list[list[tuple[int, float]]]:
+    """Per level the (dimension, value) of each node's split: the widest dimension at its median."""
+    groups, out = [x], []
+    for _ in range(depth):
+        level, below = [], []
+        for g in groups:
+            d = int(np.argmax(np.ptp(g, axis=0))) if len(g) else 0
+            at = float(np.median(g[:, d])) if len(g) else 0.0
+            level.append((d, at))
+            below += [g[g[:, d] <= at], g[g[:, d] > at]] if len(g) else [g, g]
+        out.append(level)
+        groups = below
+    return out
+
+
+def _leaves(x: np.ndarray, splits: list[list[tuple[int, float]]]) -> np.ndarray:
+    """The number of each row's leaf; zero vectors have their own, -1."""
+    node = np.zeros(len(x), dtype=np.int32)
+    for level in splits:
+        d, at = np.array([n[0] for n in level]), np.array([n[1] for n in level])
+        node = 2 * node + (x[np.arange(len(x)), d[node]] > at[node])
+    return np.where(x.any(axis=1), node, -1).astype(np.int32)
+
+
 @dataclass
 class Cells:
     """``centres``: unit vectors; ``probes``: cells a query searches."""

@@ -251,8 +251,7 @@ def engagement_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def engagement_knn(spark: SparkSession, d: str) -> DataFrame:
-    v = materialise(_engagement(spark, d), "engagement")
-    return similar.nearest(v, 10, v.where("id % 20 = 0"))
+    return similar.nearest_in_boxes(materialise(_engagement(spark, d), "engagement"), 10).where("row % 20 = 0")
 
 
 # 80
