@@ -86,6 +86,15 @@ def test_negatives_for_every_position_of_every_walk(spark, monkeypatch):
     assert set(got.values()) == set(range(6))
 
 
+def test_engagement_neighbours_of_every_document(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, *[float(r.choice([0, 0, 1, 2, 7])) for _ in range(4)]) for i in range(300)]
+    names = ["doc_idx", *(f"Total{c}_log1p" for c in ("Views", "Downloads", "Votes", "Kernels"))]
+    spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_idx' else 'double'}" for n in names)).write.parquet(str(tmp_path / "beh_base.parquet"))
+    got = QUERIES["engagement_knn"](spark, str(tmp_path)).groupBy("row").count().collect()
+    assert {(x.row, x["count"]) for x in got} == {(i, 10) for i in range(300)}
+
+
 def test_nearest_in_boxes_equals_nearest(spark):
     r = random.Random(6)
     rows = [(i, [0.0] * 3 if i % 97 == 0 else [r.choice([r.gauss(0, 1), float(r.randrange(-2, 3))]) for _ in range(3)]) for i in range(900)]

@@ -251,7 +251,7 @@ def engagement_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def engagement_knn(spark: SparkSession, d: str) -> DataFrame:
-    return similar.nearest_in_boxes(materialise(_engagement(spark, d), "engagement"), 10).where("row % 20 = 0")
+    return similar.nearest_in_boxes(materialise(_engagement(spark, d), "engagement"), 10)
 
 
 # 80
