@@ -256,6 +256,23 @@ def test_numpy_draws_equal_the_column(spark):
     assert [x.u for x in got] == rng.uniform_long_np(5, np.array([x.id for x in got]), 3).tolist()
 
 
+def test_picks_of_long_lists(monkeypatch):
+    monkeypatch.setattr(walks, "WEIGHTS", 500)
+    g = np.random.default_rng(2)
+    size = g.integers(0, 300, 80)
+    w, u = np.where(g.random((80, 300)) < 0.2, 0.0, g.random((80, 300))), g.random(80)
+    run = [np.cumsum(x[:n]) for x, n in zip(w, size, strict=True)]
+    expected = [int(np.searchsorted(r, t * r[-1])) if len(r) and r[-1] > 0 else -1 for r, t in zip(run, u, strict=True)]
+    assert walks._pick_ragged(lambda r, j: w[r[:, None], j], size, u).tolist() == expected
+    first = np.append(0, np.cumsum(size))
+    flat = walks._running(np.concatenate([x[:n] for x, n in zip(w, size, strict=True)]), first)
+    assert flat.tolist() == np.concatenate(run).tolist()
+    at = np.flatnonzero(size > 0)
+    got = walks._first_reaching(flat, first[at], first[at + 1], u[at] * flat[first[at + 1] - 1]) - first[at]
+    assert got.tolist() == [expected[k] for k in at]
+    assert (rng.xxhash64_np(7, seed=rng.xxhash64_np(3, size)) == rng.xxhash64_np(3, size, 7)).all()
+
+
 def test_walk_draws_follow_the_weights(spark, monkeypatch):
     monkeypatch.setattr(walks, "LIST", 4)
     df = spark.createDataFrame([(d, 1000, float(1 + d % 3)) for d in range(20)], "row long, col long, val double")
