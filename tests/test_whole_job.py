@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from viewloom.operators import fusion, graph, similar, tagstats
+from viewloom.operators import walks as wk
 from viewloom.plans import q_walks
 from viewloom.plans.registry import QUERIES
 
@@ -104,3 +105,13 @@ def test_nearest_in_boxes_equals_nearest(spark):
         assert rounded(similar.nearest_in_boxes(v, k, leaf)) == rounded(similar.nearest(v, k))
     assert similar.nearest_in_boxes(v.limit(0), 5).count() == 0
     assert rounded(similar.nearest_in_boxes(v.limit(4), 5)) == rounded(similar.nearest(v.limit(4), 5))
+
+
+def test_pairs_are_drawn_without_text(spark):
+    walks = spark.createDataFrame([(s, n, list(range(s, s + 12))) for s in range(300) for n in range(4)], "start long, walk int, path array<long>")
+    p = wk.skip_gram_pairs(walks, 5, 42, keep=0.5)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "md5" not in plan and "lambda" not in plan
+    reach = {r.w: r.n for r in wk.skip_gram_pairs(walks, 5, 42).groupBy("start", "walk", "at").agg(F.max(F.abs(F.col("j") - F.col("at"))).alias("w")).where("at = 5").groupBy("w").agg(F.count("*").alias("n")).collect()}
+    assert set(reach) == {1, 2, 3, 4, 5} and all(180 < n < 300 for n in reach.values())
+    assert abs(p.count() / wk.skip_gram_pairs(walks, 5, 42).count() - 0.5) < 0.02
