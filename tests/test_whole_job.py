@@ -115,3 +115,15 @@ def test_pairs_are_drawn_without_text(spark):
     reach = {r.w: r.n for r in wk.skip_gram_pairs(walks, 5, 42).groupBy("start", "walk", "at").agg(F.max(F.abs(F.col("j") - F.col("at"))).alias("w")).where("at = 5").groupBy("w").agg(F.count("*").alias("n")).collect()}
     assert set(reach) == {1, 2, 3, 4, 5} and all(180 < n < 300 for n in reach.values())
     assert abs(p.count() / wk.skip_gram_pairs(walks, 5, 42).count() - 0.5) < 0.02
+
+
+def test_negatives_are_drawn_where_the_walks_are(spark):
+    noise = wk.noise_distribution(spark.range(20_000).selectExpr("id", "id % 9 + 1 as deg"))
+    p = spark.range(50).selectExpr("id as start", "0 as walk", "0 as at", "0 as j")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        got = wk.alias_negatives(p, noise, 5)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == 250 and got.where("negative between 0 and 19999").count() == 250
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
