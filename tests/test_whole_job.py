@@ -127,3 +127,16 @@ def test_negatives_are_drawn_where_the_walks_are(spark):
         assert got.count() == 250 and got.where("negative between 0 and 19999").count() == 250
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_word2vec_trains_in_several_tasks(spark, monkeypatch):
+    from pyspark.ml.feature import Word2Vec
+
+    monkeypatch.setattr(wk, "WALK_SHARD", 100)
+    parts, fit = [], Word2Vec.fit
+    monkeypatch.setattr(Word2Vec, "fit", lambda self, x: parts.append(self.getNumPartitions()) or fit(self, x))
+    paths = [(s, 0, [g * 10 + random.Random(s * 40 + i).randrange(6) for i in range(40)]) for s in range(400) for g in [s % 2]]
+    v = {r.id: r.v for r in wk.word2vec(spark.createDataFrame(paths, "start long, walk int, path array<long>"), dim=8).collect()}
+    assert parts == [4] and len(v) == 12
+    dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
+    assert min(dot(0, i) for i in range(1, 6)) > max(dot(0, i) for i in range(10, 16))
