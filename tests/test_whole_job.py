@@ -140,3 +140,17 @@ def test_word2vec_trains_in_several_tasks(spark, monkeypatch):
     assert parts == [4] and len(v) == 12
     dot = lambda a, b: sum(x * y for x, y in zip(v[a], v[b], strict=True))
     assert min(dot(0, i) for i in range(1, 6)) > max(dot(0, i) for i in range(10, 16))
+
+
+def test_nearest_is_the_same_with_broadcast_vectors(spark, monkeypatch):
+    r = random.Random(9)
+    base = [[r.gauss(0, 1) for _ in range(6)] for _ in range(40)]
+    rows = [(i, [0.0] * 6 if i % 50 == 7 else [x + (1e-8 if i % 3 else 0) * r.random() for x in r.choice(base)]) for i in range(700)]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    found = lambda *a, **k: sorted((x.row, x.col, x.val) for x in similar.nearest(v, *a, **k).collect())
+    args = [((5,), {}), ((30, v.where("id % 9 = 0")), {"positive_only": True}), ((3,), {"block": 64})]
+    plan = similar.nearest(v, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+    got = [found(*a, **k) for a, k in args]
+    monkeypatch.setattr(similar, "SHARED_NUMBERS", 0)
+    assert got == [found(*a, **k) for a, k in args]

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from viewloom.operators.clean import running_total
 from viewloom.operators.graph import top_edges
 from viewloom.session import materialise
 
-#: Vectors per block of the exact search.
-BLOCK = 4096
+#: Vectors per block of the exact search, and numbers up to which all vectors are broadcast (128 MB).
+BLOCK, SHARED_NUMBERS = 4096, 16_000_000
 
 
 def anchored_cosine(edges: DataFrame, k: int, anchors: int = 3, postings: int = 200, df_cap: int = 10_000, mode: str = "cosine") -> DataFrame:
@@ -45,10 +46,14 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, positi
     """(row, col, val): the ``k`` vectors of largest cosine for each query (default: all), itself excluded; exact.
 
     ``vectors`` is (id, v); zero vectors have cosine 0. Both sides are cut into blocks by hash; every block pair is one task of matrix products that
-    keeps k per query, and the k best of all blocks remain: no pair leaves a task but a block's best. Ties (to 9 digits) by id.
+    keeps k per query, and the k best of all blocks remain: no pair leaves a task but a block's best. Up to SHARED_NUMBERS numbers the
+    vectors are broadcast instead and a task compares its queries with all of them. Ties (to 9 digits) by id.
     """
     queries = vectors if queries is None else queries
-    blocks = max(1, -(-vectors.count() // block))
+    n, first = vectors.count(), vectors.select(F.size("v")).first()
+    if first and n * first[0] <= SHARED_NUMBERS:
+        return _nearest_shared(vectors, k, queries, positive_only, min(block, 2048))
+    blocks = max(1, -(-n // block))
     side = lambda df, count, tag: df.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(tag))
     stack = F.collect_list(F.struct("id", "v"))
     left = side(queries, max(1, -(-queries.count() // block)), "qb").groupBy("qb").agg(stack.alias("q"))
@@ -76,6 +81,60 @@ def nearest(vectors: DataFrame, k: int, queries: DataFrame | None = None, positi
     return top_edges(tasks.select("q", "x").mapInPandas(run, "row long, col long, val double"), k).drop("rank")
 
 
+def _nearest_shared(vectors: DataFrame, k: int, queries: DataFrame, positive_only: bool, block: int) -> DataFrame:
+    """``nearest`` over broadcast vectors. Products in single precision find what can be among a query's best, with room for their error;
+    the values are computed in double precision."""
+    typed = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    spark = vectors.sparkSession
+
+    def units(v) -> np.ndarray:
+        x = np.array(v.flatten().to_numpy(zero_copy_only=False)).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(size > 0, size, 1)
+
+    t = typed(vectors).orderBy("id").toArrow()
+    b = units(t["v"].combine_chunks())
+    shared = spark.sparkContext.broadcast((np.asarray(t["id"]), b, b.astype(np.float32)))
+    # unit vectors: the products of a pair differ by less than (dimensions + 2) roundings
+    room = (b.shape[1] + 8) * 1.2e-7 + 1e-9
+
+    def best(qi: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
+        ids, x, x32 = shared.value
+        a32 = a.astype(np.float32)
+        least = np.full(len(a), 0.0 if positive_only else -np.inf)
+        at, place, val = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        for s in range(0, len(x), block):
+            sim = a32 @ x32[s : s + block].T
+            if not s and sim.shape[1] > k + 1:
+                # itself may be among the k + 1
+                np.maximum(least, np.partition(sim, -(k + 1), axis=1)[:, -(k + 1)] - room, out=least)
+            q, p = np.nonzero(sim >= (least - room).astype(np.float32)[:, None])
+            p = p + s
+            other = ids[p] != qi[q]
+            q, p = q[other], p[other]
+            if not len(q):
+                continue
+            v = np.concatenate([np.round(np.einsum("ij,ij->i", a[q[i : i + 100_000]], x[p[i : i + 100_000]]), 9) for i in range(0, len(q), 100_000)]) + 0.0
+            ok = v > 0 if positive_only else np.ones(len(v), dtype=bool)
+            at, place, val = np.append(at, q[ok]), np.append(place, p[ok]), np.append(val, v[ok])
+            order = np.lexsort((place, -val, at))
+            at, place, val = at[order], place[order], val[order]
+            rank = np.arange(len(at)) - np.searchsorted(at, at)
+            full = rank == k - 1
+            least[at[full]] = np.maximum(least[at[full]], val[full])
+            at, place, val = at[rank < k], place[rank < k], val[rank < k]
+        return pa.RecordBatch.from_arrays([pa.array(qi[at]), pa.array(ids[place]), pa.array(val)], names=["row", "col", "val"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            qi, a = np.asarray(r.column(0)), units(r.column(1))
+            for s in range(0, len(qi), 256):
+                yield best(qi[s : s + 256], a[s : s + 256])
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return typed(queries).repartition(parts).mapInArrow(run, "row long, col long, val double")
+
+
 def nearest_in_boxes(vectors: DataFrame, k: int, leaf: int = 1024, sample: int = 50_000) -> DataFrame:
     """(row, col, val): the same rows as ``nearest`` of all vectors, for vectors of few dimensions; exact.
 
