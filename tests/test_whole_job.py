@@ -154,3 +154,58 @@ def test_nearest_is_the_same_with_broadcast_vectors(spark, monkeypatch):
     got = [found(*a, **k) for a, k in args]
     monkeypatch.setattr(similar, "SHARED_NUMBERS", 0)
     assert got == [found(*a, **k) for a, k in args]
+
+
+def test_training_on_walks_takes_every_pair(spark):
+    """One walk, one epoch: the vectors are those of a plain loop over ``skip_gram_pairs`` with the same draws."""
+    import numpy as np
+
+    r = random.Random(3)
+    path, dim, negs, lr, mask = [r.choice([2, 5, 7, 9, 99]) for _ in range(60)], 8, 2, 0.1, 2**64 - 1
+    w = spark.createDataFrame([(4, 1, path)], "start long, walk int, path array<long>")
+    ids = spark.createDataFrame([(2, 1), (5, 3), (7, 2), (9, 4), (11, 1)], "id long, deg long")
+    got = {x.id: x.v for x in wk.train_sgns_on_walks(w, ids, 5, 42, dim=dim, epochs=1, negs=negs, lr=lr, seed=6).collect()}
+
+    def mix(z):
+        z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        z = (z ^ (z >> 27)) * 0x94D049BB133111EB & mask
+        return z ^ (z >> 31)
+
+    place = {2: 0, 5: 1, 7: 2, 9: 3, 11: 4}
+    upper, other = wk.alias_table(np.array([1, 3, 2, 4, 1]) ** 0.75)
+    v, u = (np.random.default_rng(6).random((5, dim)) - 0.5) / dim, np.zeros((5, dim))
+    s = (mix(mix(mix(6))) + 0x9E3779B97F4A7C15) & mask  # one more draw gives the order of the walks
+    pairs = sorted((x.at, x.j, x.center, x.context) for x in wk.skip_gram_pairs(w, 5, 42).collect())
+    assert len(pairs) > 200
+    for at in sorted({p[0] for p in pairs}):
+        targets = []
+        for _, _, a, b in (p for p in pairs if p[0] == at and p[2] != 99 and p[3] != 99):
+            targets.append((place[b], 1))
+            for _ in range(negs):
+                s = (s + 0x9E3779B97F4A7C15) & mask
+                slot = (mix(s) >> 32) * 5 >> 32
+                targets.append((slot if (mix(s) & 0xFFFFFF) / 2**24 < upper[slot] else other[slot], 0))
+        if targets:
+            x = v[place[path[at]]]
+            g = [lr * (y - 1 / (1 + np.exp(-(x @ u[t])))) for t, y in targets]
+            step = np.zeros(dim)
+            for (t, _), d in zip(targets, g, strict=True):
+                step += d * u[t]
+                u[t] += d * x
+            x += step
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert got.keys() == place.keys() and all(np.allclose(got[i], v[p], atol=2e-3) for i, p in place.items())
+
+
+def test_embeddings_write_no_pairs_and_put_related_documents_together(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    rows = [(i, [f"a{i % 3}", f"b{i % 3}"]) for i in range(60)]
+    spark.createDataFrame(rows, "doc_idx long, tags array<string>").write.parquet(str(tmp_path / "relevance_tag_docs.parquet"))
+    monkeypatch.setattr(wk, "skip_gram_pairs", None)
+    monkeypatch.setattr(wk, "SHARD_PAIRS", 20_000)
+    assert {(r.id, r.dim, r.length) for r in QUERIES["sgns_embeddings"](spark, str(tmp_path)).collect()} == {(i, 32, 1.0) for i in range(60)}
+    v = {r.id: np.array(r.v) for r in q_walks._trained(spark, str(tmp_path)).collect()}
+    assert min(v[0] @ v[i] for i in range(3, 60, 3)) > max(v[0] @ v[i] for i in range(60) if i % 3)
+    none = wk.train_sgns_on_walks(spark.createDataFrame([], "start long, walk int, path array<long>"), spark.createDataFrame([(1, 2)], "id long, deg long"))
+    assert [len(r.v) for r in none.collect()] == [32]
