@@ -209,3 +209,31 @@ def test_embeddings_write_no_pairs_and_put_related_documents_together(spark, tmp
     assert min(v[0] @ v[i] for i in range(3, 60, 3)) > max(v[0] @ v[i] for i in range(60) if i % 3)
     none = wk.train_sgns_on_walks(spark.createDataFrame([], "start long, walk int, path array<long>"), spark.createDataFrame([(1, 2)], "id long, deg long"))
     assert [len(r.v) for r in none.collect()] == [32]
+
+
+def _two_groups(spark, tmp_path, monkeypatch):
+    rows = [(i, [f"a{i % 2}", f"b{i % 2}"]) for i in range(50)]
+    spark.createDataFrame(rows, "doc_idx long, tags array<string>").write.parquet(str(tmp_path / "relevance_tag_docs.parquet"))
+    spark.createDataFrame([(0, 1, 0.5), (90, 2, 0.5)], "row long, col long, val double").write.parquet(str(tmp_path / "s_fused3_symrow.parquet"))
+    monkeypatch.setattr(wk, "skip_gram_pairs", None)
+    return str(tmp_path)
+
+
+def test_walk_graph_fusion_has_every_document_and_writes_no_pairs(spark, tmp_path, monkeypatch):
+    got = QUERIES["walk_graph_fusion"](spark, _two_groups(spark, tmp_path, monkeypatch)).collect()
+    assert {r.row for r in got} == {*range(50), 90} and {r.col for r in got if r.row == 90} == {2}
+    assert sum(r.row % 2 == r.col % 2 for r in got) > 0.8 * len(got)
+
+
+def test_walk_graph_quality_counts_every_document_and_writes_no_pairs(spark, tmp_path, monkeypatch):
+    got = {r.method: (r.n, r.tag_jaccard) for r in QUERIES["walk_graph_quality"](spark, _two_groups(spark, tmp_path, monkeypatch)).collect()}
+    assert got["walk"] == (500, 1.0) and got["random"][0] == 500 and got["random"][1] < 0.8
+
+
+def test_nearest_over_several_blocks_equals_brute_force(spark):
+    r = random.Random(2)
+    rows = [(i, [float(r.randrange(-3, 4)) for _ in range(3)]) for i in range(150)]
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / max((sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5, 1e-300), 9) + 0.0
+    want = sorted((i, j, v) for i, a in rows for v, j in sorted((-cos(a, b), j) for j, b in rows if j != i)[:7] for v in [-v + 0.0])
+    got = similar.nearest(spark.createDataFrame(rows, "id long, v array<double>"), 7, block=16)
+    assert sorted((x.row, x.col, x.val) for x in got.collect()) == want
